@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkmend.llm.columns import read
+from sparkmend.llm.decontam import decontamination
+from sparkmend.llm.langid import fit, language_id
 from sparkmend.llm.matroska import media_features
 from sparkmend.llm.token_counts import token_counts
 from sparkmend.llm.token_output import token_output
@@ -27,6 +29,15 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(read(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language_id(docs, fit(docs))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10)
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
