@@ -11,6 +11,7 @@ from sparkmend.llm.columns import read
 from sparkmend.llm.decontam import decontamination
 from sparkmend.llm.langid import fit, language_id
 from sparkmend.llm.matroska import media_features
+from sparkmend.llm.piece_sampling import sampled_digests
 from sparkmend.llm.simhash import simhash_components
 from sparkmend.llm.token_counts import token_counts
 from sparkmend.llm.token_output import token_output
@@ -26,6 +27,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"))
 
 
+def op4_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
