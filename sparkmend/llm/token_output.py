@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -121,16 +122,23 @@ def unpack_blocks(words: np.ndarray, offsets: list[int], n: int) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so that tasks after the first find the frequent units there."""
+    return Encoder(path)
+
+
 class Encoder:
     """Ids of texts by the tokenizers library; the ids of short units are kept, two generations of bounded size."""
 
-    def __init__(self, path: str, most_kept: int = 300_000):
+    def __init__(self, path: str, most_kept: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most_kept = Tokenizer.from_file(path), most_kept
         vocab = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.kind = np.uint16 if len(self.bytes_of) <= 1 << 16 else np.uint32
         for token, i in vocab.items():  # in byte-level vocabularies a letter is a byte
             self.bytes_of[i] = len(token)
         self.specials = special_strings(self.tokenizer)
@@ -140,21 +148,24 @@ class Encoder:
 
     def learn(self, units: list[str]) -> None:
         """Units that begin with one blank are encoded strung together, as none merges with its neighbours."""
-        known, alone = self.ids_of, [u for u in units if u[0] != " " or len(u) == 1 or u.isspace()]
+        known, alone, strung = self.ids_of, [], []
+        for u in units:
+            (strung if u[0] == " " and u[1:2] > " " and not u.isspace() else alone).append(u)
         for at in range(0, len(alone), 10_000):
             part = alone[at : at + 10_000]
-            known.update((u, np.array(e.ids, np.uint32).tobytes()) for u, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)))
-        seen = set(alone)
-        strung = [u for u in units if u not in seen]
+            known.update((u, np.array(e.ids, self.kind).tobytes()) for u, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)))
+        width = np.dtype(self.kind).itemsize
         for at in range(0, len(strung), 2_000):
             part = strung[at : at + 2_000]
-            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, np.uint32)
-            reach, ends = np.cumsum(self.bytes_of[ids]), np.cumsum([len(u.encode()) for u in part])
+            whole = "".join(part)
+            ids = np.array(self.tokenizer.encode(whole, add_special_tokens=False).ids, self.kind)
+            sizes = map(len, part) if whole.isascii() else [len(u.encode()) for u in part]
+            reach, ends = np.cumsum(self.bytes_of[ids]), np.cumsum(np.fromiter(sizes, np.int64, len(part)))
             last = np.searchsorted(reach, ends)
             if not np.array_equal(reach[last], ends):
                 raise ValueError("a token crosses the border of a unit")
-            data, stops = ids.tobytes(), (4 * (last + 1)).tolist()
-            known.update((u, data[a:b]) for u, a, b in zip(part, [0, *stops], stops))
+            data, stops = ids.tobytes(), (width * (last + 1)).tolist()
+            known.update(zip(part, [data[a:b] for a, b in zip([0, *stops], stops)]))
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by end_id, and the number of ids of each text."""
@@ -164,30 +175,30 @@ class Encoder:
                 split.append([u for part, special in self.parts(text) for u in ([part] if special else UNIT.findall(part))])
             else:
                 split.append(UNIT.findall(text))
-        known = self.ids_of
-        fresh = list({u for units in split for u in units if u not in known})
-        older = self.older
+        known, older = self.ids_of, self.older
+        fresh = set().union(*split).difference(known)
         if older:
-            known.update((u, older[u]) for u in fresh if u in older)
-            fresh = [u for u in fresh if u not in older]
-        self.learn(fresh)
-        end = np.uint32(end_id).tobytes()
-        rows = [b"".join([*map(known.__getitem__, units), end]) for units in split]
+            found = fresh & older.keys()
+            known.update((u, older[u]) for u in found)
+            fresh -= found
+        self.learn(list(fresh))
+        end, width = self.kind(end_id).tobytes(), np.dtype(self.kind).itemsize
+        rows = [b"".join(map(known.__getitem__, units)) + end for units in split]
         for u in fresh:
             if len(u) > LONGEST_KEPT:
                 del known[u]
         if len(known) > self.most_kept:
             self.ids_of, self.older = {}, known
-        return np.frombuffer(b"".join(rows), np.uint32), np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+        return np.frombuffer(b"".join(rows), self.kind), np.fromiter(map(len, rows), np.int64, len(rows)) // width
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and writes all documents in ascending id order; returns the written file table (FILE_SCHEMA)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, first, k = Encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
-        for batch in slices(batches, 4 << 20):
-            ids, sizes = encoder.encode([t or "" for t in batch.column(1).to_pylist()], end_id)
+        part, first, k = TaskContext.get().partitionId(), 0, 0
+        for batch in slices(batches, 8 << 20):
+            ids, sizes = encoder(tokenizer_path).encode([t or "" for t in batch.column(1).to_pylist()], end_id)
             words, offsets = pack_blocks(ids)
             yield pa.RecordBatch.from_pylist(
                 [{"part": part, "run": k, "first": first, "doc_ids": batch.column(0).to_pylist(), "sizes": sizes.tolist(), "block_words": offsets, "words": words.astype("<u8").tobytes()}],
