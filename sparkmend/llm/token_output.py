@@ -26,7 +26,7 @@ from sparkmend.operators.shared import written
 # Ids a word and bits an id, by selector; 0 is the escape.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 WIDTHS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
-BLOCK = 65_536
+BLOCK = 4_096
 FILE_SCHEMA = "part int, run int, first long, doc_ids array<long>, sizes array<long>, block_words array<int>, words binary"
 OUT_SCHEMA = "doc_id long, part int, begin long, n_tokens long, ids_crc32 long"
 
@@ -42,28 +42,36 @@ def windows_of(fits: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def pack(ids: np.ndarray) -> np.ndarray:
-    """uint64 ids to words, each time the selector that takes the most."""
+def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Words of all blocks, and the word offset at which each block begins.
+
+    At every id the selector that takes the most is known from array operations; all blocks then step from word to
+    word side by side. A block's last word may repeat ids of the next block, which reading passes over.
+    """
     ids = np.ascontiguousarray(ids, np.uint64)
     n = len(ids)
     if not n:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), []
     selector = np.zeros(n, np.uint8)
     top = int(ids.max())
     for s in range(14, 0, -1):
-        fits = ids < np.uint64(1 << int(WIDTHS[s]))
         if top < 1 << int(WIDTHS[s]):
             selector[:] = s
             continue
-        if not fits.any():
-            continue
-        selector[windows_of(fits, int(COUNTS[s]))] = s
-    step = np.where(selector == 0, 1, COUNTS[selector]).tolist()
-    starts, at = [], 0
-    while at < n:
-        starts.append(at)
-        at += step[at]
-    starts = np.array(starts, np.int64)
+        fits = ids < np.uint64(1 << int(WIDTHS[s]))
+        if fits.any():
+            selector[windows_of(fits, int(COUNTS[s]))] = s
+    step = np.r_[np.where(selector == 0, 1, COUNTS[selector]), 0]
+    first = np.arange(0, n, BLOCK)
+    past = np.minimum(first + BLOCK, n)
+    head, at = np.zeros(n + 1, bool), first
+    while True:
+        head[at] = True
+        new = np.minimum(at + step[at], past)
+        if (new == past).all():
+            break
+        at = np.where(new < past, new, at)
+    starts = np.flatnonzero(head[:n])
     chosen = selector[starts]
     escaped = chosen == 0
     place = np.arange(len(starts)) + np.r_[0, np.cumsum(escaped)[:-1]]
@@ -73,53 +81,42 @@ def pack(ids: np.ndarray) -> np.ndarray:
         mine = np.flatnonzero(chosen == s)
         if len(mine):
             c, w = int(COUNTS[s]), int(WIDTHS[s])
-            shifts = (np.arange(c) * w).astype(np.uint64)
-            parts = padded[starts[mine][:, None] + np.arange(c)] << shifts
-            words[place[mine]] = np.bitwise_or.reduce(parts, axis=1) | np.uint64(s << 60)
+            word = np.full(len(mine), s << 60, np.uint64)
+            for k in range(c):
+                word |= padded[starts[mine] + k] << np.uint64(k * w)
+            words[place[mine]] = word
     words[place[escaped] + 1] = ids[starts[escaped]]
-    return words
+    return words, place[np.searchsorted(starts, first)].tolist()
 
 
-def unpack(words: np.ndarray, n: int) -> np.ndarray:
-    """The n ids of pack()'s words."""
+def unpack_blocks(words: np.ndarray, offsets: list[int], n: int) -> np.ndarray:
+    """The n ids of pack_blocks()'s words. Any part of the blocks, with its words and offsets, is read the same way."""
     words = np.ascontiguousarray(words, np.uint64)
     if not n:
         return np.zeros(0, np.uint64)
     selector = (words >> np.uint64(60)).astype(np.int64)
-    raw = np.zeros(len(words), bool)
-    zero = np.flatnonzero(selector == 0)
-    at = -1
-    for z in zero.tolist():  # a raw word may look like an escape itself
+    raw, at = np.zeros(len(words), bool), -1
+    for z in np.flatnonzero(selector == 0).tolist():  # a raw word may look like an escape itself
         if z != at:
             at = z + 1
             raw[at] = True
     heads = np.flatnonzero(~raw)
     selector = selector[heads]
     counts = COUNTS[selector]
-    begin = np.r_[0, np.cumsum(counts)[:-1]]
-    out = np.zeros(int(counts.sum()), np.uint64)
+    begin = np.cumsum(counts) - counts
+    block = np.searchsorted(offsets, heads, side="right") - 1
+    row = BLOCK + int(COUNTS.max())
+    begin += block * row - begin[np.searchsorted(heads, offsets)][block]
+    out = np.zeros(len(offsets) * row, np.uint64)
     for s in np.unique(selector).tolist():
         mine = np.flatnonzero(selector == s)
         if s == 0:
             out[begin[mine]] = words[heads[mine] + 1]
             continue
-        c, w = int(COUNTS[s]), int(WIDTHS[s])
-        shifts = (np.arange(c) * w).astype(np.uint64)
-        out[begin[mine][:, None] + np.arange(c)] = (words[heads[mine]][:, None] >> shifts) & np.uint64((1 << w) - 1)
-    return out[:n]
-
-
-def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    """Words of all blocks, and the word offset at which each block begins."""
-    blocks = [pack(ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)]
-    offsets = np.r_[0, np.cumsum([len(b) for b in blocks])][: len(blocks)].astype(int).tolist()
-    return (np.concatenate(blocks) if blocks else np.zeros(0, np.uint64)), offsets
-
-
-def unpack_blocks(words: np.ndarray, offsets: list[int], n: int) -> np.ndarray:
-    ends = [*offsets[1:], len(words)]
-    parts = [unpack(words[a:b], min(BLOCK, n - i * BLOCK)) for i, (a, b) in enumerate(zip(offsets, ends))]
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        w = int(WIDTHS[s])
+        for k in range(int(COUNTS[s])):
+            out[begin[mine] + k] = (words[heads[mine]] >> np.uint64(k * w)) & np.uint64((1 << w) - 1)
+    return out.reshape(-1, row)[:, :BLOCK].ravel()[:n]
 
 
 @lru_cache(maxsize=2)
