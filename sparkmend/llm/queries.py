@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkmend.llm.columns import read
 from sparkmend.llm.decontam import decontamination
 from sparkmend.llm.langid import fit, language_id
+from sparkmend.llm.line_dedup import line_classes
 from sparkmend.llm.matroska import media_features
 from sparkmend.llm.piece_sampling import sampled_digests
 from sparkmend.llm.simhash import simhash_components
@@ -35,6 +36,10 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_classes(read(spark, sf_dir, "documents"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(read(spark, sf_dir, "documents"))
 
