@@ -11,6 +11,7 @@ from sparkmend.llm.columns import read
 from sparkmend.llm.decontam import decontamination
 from sparkmend.llm.langid import fit, language_id
 from sparkmend.llm.line_dedup import line_classes
+from sparkmend.llm.lm_scoring import cross_entropy_difference
 from sparkmend.llm.matroska import media_features
 from sparkmend.llm.piece_sampling import sampled_digests
 from sparkmend.llm.simhash import simhash_components
@@ -24,6 +25,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = read(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return cross_entropy_difference(read(spark, sf_dir, "documents"), good)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"))
 
