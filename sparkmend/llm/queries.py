@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkmend.llm import licences
 from sparkmend.llm.columns import read
 from sparkmend.llm.decontam import decontamination
 from sparkmend.llm.langid import fit, language_id
@@ -55,6 +56,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(docs, fit(docs))
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return licences.licence_paragraphs(docs, licences.fit(docs))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10)
 
