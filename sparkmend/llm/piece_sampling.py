@@ -17,6 +17,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -149,31 +150,32 @@ class PieceSampler:
         lone = behind[piece[behind, 0] == 0]
         codes = char[lone]
         piece[lone, 0] = self.bare + 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
-        total, share = np.zeros(nodes), np.zeros((nodes, wide), np.uint32)
+        total, share = np.zeros(nodes), np.full((nodes, wide), 1 << 31, np.uint32)
         order = np.argsort(-size, kind="stable")
         by_size, begins = -size[order], base[order]
         lanes = np.arange(1, wide + 1)
         for p in range(1, int(size.max(initial=0)) + 1):
             node = begins[: np.searchsorted(by_size, -p, side="right")] + p
-            reach = total[node[:, None] - lanes] + self.weight[piece[node]]
+            here = min(p, wide)  # no longer piece fits before the node
+            reach = total[node[:, None] - lanes[:here]] + self.weight[piece[node, :here]]
             top = reach.max(axis=1)
             parts = np.exp(reach - top[:, None])
             upto = np.cumsum(parts, axis=1)
             total[node] = top + np.log(upto[:, -1])
-            share[node] = upto / upto[:, -1:] * 2147483648.0
+            share[node, :here] = upto / upto[:, -1:] * 2147483648.0
         return base, share, piece, char
 
     def encode(self, texts: list[str], keys: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
         """Sampled ids of all texts, and how many each has."""
         split = [CHUNK.findall(" " + t) if t else [] for t in texts]
-        number = {c: i for i, c in enumerate({c: None for cs in split for c in cs})}
+        number = {c: i for i, c in enumerate(dict.fromkeys(chain.from_iterable(split)))}
         many = np.fromiter(map(len, split), np.int64, len(split))
         total = int(many.sum())
         if not total:
             return np.zeros(0, np.int64), many
         chunks = list(number)
         base, share, piece, char = self.lattices(chunks)
-        which = np.fromiter((number[c] for cs in split for c in cs), np.int64, total)
+        which = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, total)
         size = np.fromiter(map(len, chunks), np.int64, len(chunks))[which]
         doc = np.repeat(np.arange(len(split)), many)
         past = np.cumsum(size)
@@ -244,7 +246,7 @@ def sampled_digests(docs: DataFrame, model_path: str, theta: float = 1.0, seed:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         draws = sampler(model_path, theta, seed)
-        for batch in slices(batches, 2 << 20):
+        for batch in slices(batches, 3 << 20):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids, counts = draws.encode(texts, batch.column(0).to_pylist())
             back = draws.decoded(ids, counts)
@@ -264,7 +266,7 @@ def with_pieces(docs: DataFrame, model_path: str, theta: float = 1.0, seed: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         draws = sampler(model_path, theta, seed)
-        for batch in slices(batches, 2 << 20):
+        for batch in slices(batches, 3 << 20):
             ids, counts = draws.encode([t or "" for t in batch.column(at).to_pylist()], batch.column(key).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, name])
@@ -279,7 +281,7 @@ def decoded_texts(rows: DataFrame, model_path: str, ids_col: str = "piece_ids",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         draws = sampler(model_path, 1.0, 42)
-        for batch in slices(batches, 2 << 20):
+        for batch in slices(batches, 3 << 20):
             lists = batch.column(at).to_pylist()
             ids = np.array([i for x in lists for i in x or ()], np.int64)
             texts = draws.decoded(ids, np.array([len(x or ()) for x in lists], np.int64))
