@@ -145,9 +145,9 @@ class Encoder:
 
     def learn(self, units: list[str]) -> None:
         """Units that begin with one blank are encoded strung together, as none merges with its neighbours."""
-        known, alone, strung = self.ids_of, [], []
-        for u in units:
-            (strung if u[0] == " " and u[1:2] > " " and not u.isspace() else alone).append(u)
+        known = self.ids_of
+        strung = [u for u in units if u[0] == " " and u[1:2] > " " and not u.isspace()]
+        alone = list(set(units).difference(strung))
         for at in range(0, len(alone), 10_000):
             part = alone[at : at + 10_000]
             known.update((u, np.array(e.ids, self.kind).tobytes()) for u, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)))
@@ -155,7 +155,7 @@ class Encoder:
         for at in range(0, len(strung), 2_000):
             part = strung[at : at + 2_000]
             whole = "".join(part)
-            ids = np.array(self.tokenizer.encode(whole, add_special_tokens=False).ids, self.kind)
+            ids = np.array(self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0].ids, self.kind)
             sizes = map(len, part) if whole.isascii() else [len(u.encode()) for u in part]
             reach, ends = np.cumsum(self.bytes_of[ids]), np.cumsum(np.fromiter(sizes, np.int64, len(part)))
             last = np.searchsorted(reach, ends)
