@@ -42,17 +42,17 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-    for batch in slices(batches, 8 << 20):
+    for batch in slices(batches, 2 << 20):
         for text in batch.column(1).to_pylist():
             counts.update(words_of(text))
-        if len(counts) > 500_000:
+        if len(counts) > 100_000:
             yield out()
             counts = Counter()
     if counts:
         yield out()
 
 
-def chunked(vocabulary, at_most: int = 4 << 20):
+def chunked(vocabulary, at_most: int = 3 << 20):
     """Word numbers from 1; 0 is any other word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
