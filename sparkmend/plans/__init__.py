@@ -1,5 +1,6 @@
 """Queries by subject; importing this package registers them all."""
 
 from sparkmend.plans import cleaning as cleaning
+from sparkmend.plans import retrieval as retrieval
 from sparkmend.plans.registry import QUERIES as QUERIES
 from sparkmend.plans.registry import SQL as SQL
