@@ -10,6 +10,7 @@ from sparkmend.functions.similarity import osa_udf
 from sparkmend.operators import blocking, quality
 from sparkmend.operators import retrieval as R
 from sparkmend.operators.components import connected_components
+from sparkmend.operators.order import ranked_all
 from sparkmend.operators.shared import written
 from sparkmend.plans.registry import query, table
 
@@ -102,18 +103,6 @@ def hit_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rank_metrics(ranked, gold, "query_id", "doc_id", "rank", k=500)
 
 
-def ranked_all(df: DataFrame, order: list[str]) -> DataFrame:
-    """All rows with their rank over the whole table: range partitions sorted by themselves, then offset by those before.
-
-    A window without keys would move the table to one task.
-    """
-    parts = written(df.orderBy(*order).withColumn("__p", F.spark_partition_id()), "ranged")
-    own = Window.partitionBy("__p").orderBy(*order)
-    sizes = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return parts.join(F.broadcast(before), "__p").withColumn("rank", F.row_number().over(own) + F.col("__before")).drop("__p", "__before")
-
-
 @query("""
 with v as (select vec_id, label, cast(embedding as double[]) as e from embeddings), p as (select q.vec_id as query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) as score from v q, v where q.vec_id % 50 = 0)
 select query_id, vec_id, round(score, 4) as score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as r from p) where r <= 10
