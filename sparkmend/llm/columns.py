@@ -18,7 +18,7 @@ def keyed_text(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataF
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
 
 
-def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches of long texts into pieces of bounded size (one row at least)."""
     for batch in batches:
         rows = batch.num_rows
