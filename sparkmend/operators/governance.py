@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,12 +80,22 @@ def admit(claims: DataFrame, floor: float = FLOOR) -> DataFrame:
     bad = bad | (F.coalesce(F.trim("relation"), F.lit("")) == F.lit(""))
     rejected = claims.where(bad).select("claim_id", F.lit("REJECTED").alias("write_verdict"), F.lit(None).cast("long").alias("other_id"), F.lit("").alias("note"))
 
-    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["asserted_at", "claim_id"]).astype(object)
-        rows = pdf.where(pdf.notna(), None).to_dict("records")
-        return pd.DataFrame(gate(rows, [], floor), columns=["claim_id", "write_verdict", "other_id", "note"]).astype({"other_id": "Int64"})
-
-    return claims.where(~bad).groupBy(*CLAIM_KEYS).applyInPandas(judge, VERDICTS).unionByName(rejected)
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, known = None, []
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                own = tuple(row[k] for k in CLAIM_KEYS)
+                if own != key:
+                    key, known = own, []
+                out += gate([row], known, floor)
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["claim_id", "write_verdict", "other_id", "note"])
+
+    needed = ["claim_id", *CLAIM_KEYS, "canonical", "claimant", "valid_from", "valid_until", "confidence"]
+    # sorted keys one behind the other in each partition: no call and no frame for each key
+    dealt = claims.where(~bad).repartition(*CLAIM_KEYS).sortWithinPartitions(*CLAIM_KEYS, "asserted_at", "claim_id").select(*needed)
+    return dealt.mapInArrow(judge, VERDICTS).unionByName(rejected)
 
 
 def trailing_count(keys: list[str], time: str, seconds: int = 3600) -> Column:
