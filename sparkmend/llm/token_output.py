@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkmend.llm.columns import keyed_text, slices
-from sparkmend.llm.units import LONGEST_KEPT, UNIT, special_strings, split_specials
+from sparkmend.llm.units import UNIT, special_strings, split_specials
 from sparkmend.operators.shared import written
 
 # Ids a word and bits an id, by selector; 0 is the escape.
@@ -119,6 +119,18 @@ def unpack_blocks(words: np.ndarray, offsets: list[int], n: int) -> np.ndarray:
     return out.reshape(-1, row)[:, :BLOCK].ravel()[:n]
 
 
+class Known(dict):
+    """Numbers of the units met, in order; those met since the last learn() wait in `new`."""
+
+    def __init__(self, lead: str):
+        self.lead, self.new, self.ids, self.chars = lead, [], [], 0
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = k = len(self)
+        self.new.append(unit)
+        return k
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One for each worker process, so that tasks after the first find the frequent units there."""
@@ -126,13 +138,13 @@ def encoder(path: str) -> Encoder:
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library; the ids of short units are kept, two generations of bounded size."""
+    """Ids of texts by the tokenizers library, each distinct unit encoded once until a bounded table is full."""
 
-    def __init__(self, path: str, most_kept: int = 600_000):
+    def __init__(self, path: str, most_kept: int = 900_000, most_chars: int = 32 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most_kept = Tokenizer.from_file(path), most_kept
+        self.tokenizer, self.most_kept, self.most_chars = Tokenizer.from_file(path), most_kept, most_chars
         vocab = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
         self.kind = np.uint16 if len(self.bytes_of) <= 1 << 16 else np.uint32
@@ -140,18 +152,20 @@ class Encoder:
             self.bytes_of[i] = len(token)
         self.specials = special_strings(self.tokenizer)
         self.parts = split_specials(self.specials)
-        self.ids_of: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        # words behind a single blank, without it; and any other units as they are
+        self.spaced, self.plain = Known(" "), Known("")
 
-    def learn(self, units: list[str]) -> None:
+    def learn(self, known: Known) -> None:
         """Units that begin with one blank are encoded strung together, as none merges with its neighbours."""
-        known = self.ids_of
-        strung = [u for u in units if u[0] == " " and u[1:2] > " " and not u.isspace()]
+        width, units, found = np.dtype(self.kind).itemsize, [known.lead + u for u in known.new], {}
+        strung = [u for u in units if u[0] == " " and u[1:2] > " " and not u[1].isspace() and not u[-1].isspace()]
         alone = list(set(units).difference(strung))
         for at in range(0, len(alone), 10_000):
             part = alone[at : at + 10_000]
-            known.update((u, np.array(e.ids, self.kind).tobytes()) for u, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)))
-        width = np.dtype(self.kind).itemsize
+            found.update((u, np.array(e.ids, self.kind).tobytes()) for u, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)))
         for at in range(0, len(strung), 2_000):
             part = strung[at : at + 2_000]
             whole = "".join(part)
@@ -162,30 +176,36 @@ class Encoder:
             if not np.array_equal(reach[last], ends):
                 raise ValueError("a token crosses the border of a unit")
             data, stops = ids.tobytes(), (width * (last + 1)).tolist()
-            known.update(zip(part, [data[a:b] for a, b in zip([0, *stops], stops)]))
+            found.update(zip(part, [data[a:b] for a, b in zip([0, *stops], stops)]))
+        known.ids += map(found.__getitem__, units)
+        known.chars += sum(map(len, units))
+        known.new = []
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each text's followed by end_id, and the number of ids of each text."""
+        """All ids, each text's followed by end_id, and the number of ids of each text.
+
+        A text without two blanks together is cut at its blanks: a blank belongs to the word behind it. Others are cut by the
+        units' pattern.
+        """
+        if max(len(self.spaced), len(self.plain)) > self.most_kept or self.spaced.chars + self.plain.chars > self.most_chars:
+            self.forget()
+        spaced, plain = self.spaced, self.plain
         split = []
         for text in texts:
             if any(s in text for s in self.specials):
-                split.append([u for part, special in self.parts(text) for u in ([part] if special else UNIT.findall(part))])
+                split.append(([plain[u] for part, special in self.parts(text) for u in ([part] if special else UNIT.findall(part))], []))
+            elif "  " in text:
+                split.append((list(map(plain.__getitem__, UNIT.findall(text))), []))
             else:
-                split.append(UNIT.findall(text))
-        known, older = self.ids_of, self.older
-        fresh = set().union(*split).difference(known)
-        if older:
-            found = fresh & older.keys()
-            known.update((u, older[u]) for u in found)
-            fresh -= found
-        self.learn(list(fresh))
+                words = text.split(" ")
+                first = [plain[words[0]]] if words[0] else []
+                split.append((first, list(map(spaced.__getitem__, words[1:]))))
+        for known in (spaced, plain):
+            if known.new:
+                self.learn(known)
         end, width = self.kind(end_id).tobytes(), np.dtype(self.kind).itemsize
-        rows = [b"".join(map(known.__getitem__, units)) + end for units in split]
-        for u in fresh:
-            if len(u) > LONGEST_KEPT:
-                del known[u]
-        if len(known) > self.most_kept:
-            self.ids_of, self.older = {}, known
+        of_plain, of_spaced = plain.ids.__getitem__, spaced.ids.__getitem__
+        rows = [b"".join(map(of_plain, a)) + b"".join(map(of_spaced, b)) + end for a, b in split]
         return np.frombuffer(b"".join(rows), self.kind), np.fromiter(map(len, rows), np.int64, len(rows)) // width
 
 
