@@ -4,6 +4,7 @@ from sparkmend.plans import cleaning as cleaning
 from sparkmend.plans import governance as governance
 from sparkmend.plans import graphs as graphs
 from sparkmend.plans import kb as kb
+from sparkmend.plans import reports as reports
 from sparkmend.plans import retrieval as retrieval
 from sparkmend.plans.registry import QUERIES as QUERIES
 from sparkmend.plans.registry import SQL as SQL
