@@ -110,4 +110,4 @@ def transcript(text: DataFrame, key: str, line_no: str, line: str) -> DataFrame:
     known = F.create_map(*(F.lit(x) for pair in roles.items() for x in pair))
     body = F.when(F.col("__r").isNotNull(), F.regexp_extract(line, head, 2)).otherwise(F.col(line))
     parts = rows.select(key, F.col("__m").alias("message"), line_no, "__r", body.alias("__b")).groupBy(key, "message").agg(F.max("__r").alias("__r"), F.array_join(F.sort_array(F.collect_list(F.struct(line_no, "__b")))["__b"], "\n").alias("text"))
-    return parts.select(key, "message", F.try_element_at(known, F.col("__r")).alias("role"), F.trim("text").alias("text"))
+    return parts.select(key, "message", F.try_element_at(known, F.col("__r")).alias("role"), F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))
