@@ -4,9 +4,10 @@ A target and a background bigram model share one vocabulary (the max_words most
 unknown word) and one prior (the background's unigrams, with weight `prior`). A document's score is the mean of
 its tokens' target loss minus background loss: lower is more like the target.
 
-Documents become chunks of word numbers, written once. Each chunk sends its distinct bigrams, packed, to buckets by first word;
-a bucket sums both models' counts, works out both losses, and sends them back to the chunks, packed in the same
-order. So every n-gram of the corpus is counted, no table of n-grams is broadcast, and a shuffled row is some hundred kilobytes whatever its keys.
+Documents become chunks of word numbers, written once. Each chunk sends its distinct bigrams, packed, to buckets by a hash of
+the bigram; a bucket sums both models' counts and sends them back to the chunks, packed in the same order, and its
+counts by first word to a table as small as the vocabulary. So every n-gram of the corpus is counted, no table of
+n-grams is broadcast, and no word gathers its bigrams in one task.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from sparkmend.operators.shared import written
 WORD = re.compile(r"\w+")
 CHUNKS = "chunk long, doc_ids array<long>, sizes array<int>, ids binary"
 SENT = "bucket int, chunk long, keys binary, background binary, target binary"
-BACK = "chunk long, bucket int, losses binary"
+BACK = "chunk long, bucket int, counts binary"
 SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
@@ -81,7 +82,8 @@ def bigram_keys(sizes: np.ndarray, raw: bytes, top: int) -> np.ndarray:
 
 def ordered(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys by (bucket, key), and where each bucket begins."""
-    bucket = ((keys >> np.uint32(16)) * np.uint32(0x9E3779B1) >> np.uint32(8)) % np.uint32(buckets)
+    mixed = (keys ^ keys >> np.uint32(15)) * np.uint32(0x9E3779B1)
+    bucket = (mixed >> np.uint32(8)) % np.uint32(buckets)
     order = np.lexsort((keys, bucket))
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
@@ -104,42 +106,46 @@ def sent(buckets: int, top: int):
     return run
 
 
-def losses_back(prior: float, share):
-    """Losses of a bucket's bigrams under both models; the rows of a partition come in order of bucket."""
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Both counts of each bigram over all chunks, back to the chunks; and, as chunk -1, a bucket's counts by first word.
 
-    def losses(rows: list[dict]) -> pa.RecordBatch:
+    The rows of a partition come in order of bucket. Buckets are cut by the whole bigram, so a frequent first word is in all of them.
+    """
+
+    def totals(rows: list[dict]) -> pa.RecordBatch:
         keys = [np.frombuffer(r["keys"], np.uint32) for r in rows]
         distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+        both = np.stack([np.bincount(which, weights=np.concatenate([np.frombuffer(r[k], np.uint32) for r in rows]), minlength=len(distinct)) for k in ("target", "background")], axis=1)
         first = distinct >> np.uint32(16)
         starts = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
-        seconds = prior * share.value[distinct & np.uint32(0xFFFF)]
-        out = []
-        for kind in ("target", "background"):
-            counts = np.bincount(which, weights=np.concatenate([np.frombuffer(r[kind], np.uint32) for r in rows]), minlength=len(distinct))
-            context = np.repeat(np.add.reduceat(counts, starts), np.diff(np.r_[starts, len(first)]))
-            out.append(-np.log((counts + seconds) / (context + prior)))
-        both = np.stack(out, axis=1).astype(np.float32)[which]
+        firsts = np.c_[first[starts], np.add.reduceat(both, starts, axis=0)]
         ends = np.cumsum([len(k) for k in keys]).tolist()
+        sent_back = both.astype(np.float32)[which]
+        parts = [sent_back[a:b].tobytes() for a, b in zip([0, *ends], ends)]
         return pa.RecordBatch.from_arrays(
-            [pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([r["bucket"] for r in rows], pa.int32()), pa.array([both[a:b].tobytes() for a, b in zip([0, *ends], ends)], pa.binary())],
-            names=["chunk", "bucket", "losses"],
+            [pa.array([*(r["chunk"] for r in rows), -1], pa.int64()), pa.array([rows[0]["bucket"]] * (len(rows) + 1), pa.int32()), pa.array([*parts, firsts.tobytes()], pa.binary())],
+            names=["chunk", "bucket", "counts"],
         )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held and row["bucket"] != held[0]["bucket"]:
-                    yield losses(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield losses(held)
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and row["bucket"] != held[0]["bucket"]:
+                yield totals(held)
+                held = []
+            held.append(row)
+    if held:
+        yield totals(held)
 
-    return run
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data in batch.column(0).to_pylist():
+            rows = np.frombuffer(data).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].astype(np.int32)), pa.array(rows[:, 1]), pa.array(rows[:, 2])], names=["first", "target", "background"])
 
 
-def scored(buckets: int, top: int):
+def scored(buckets: int, top: int, prior: float, share, firsts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -148,7 +154,10 @@ def scored(buckets: int, top: int):
                 order, _ = ordered(distinct, buckets)
                 losses = np.zeros((len(distinct) + 1, 2))
                 if len(distinct):
-                    losses[order] = np.frombuffer(b"".join(x["losses"] for x in sorted(row["parts"] or [], key=lambda x: x["bucket"])), np.float32).reshape(-1, 2)
+                    counts = np.empty((len(distinct), 2))
+                    counts[order] = np.frombuffer(b"".join(x["counts"] for x in sorted(row["parts"], key=lambda x: x["bucket"])), np.float32).reshape(-1, 2)
+                    usual = prior * share.value[distinct & np.uint32(0xFFFF)][:, None]
+                    losses[:-1] = -np.log((counts + usual) / (firsts.value[distinct >> np.uint32(16)] + prior))
                 ends = np.cumsum(sizes)
                 sums = np.r_[np.zeros((1, 2)), np.cumsum(losses[which], axis=0)]
                 per = np.where(sizes[:, None] > 0, (sums[ends] - sums[ends - sizes]) / np.maximum(sizes, 1)[:, None], 0.0).round(6)
@@ -184,6 +193,10 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, max_words: int
     flags = written(flags.select("chunk", F.col("flags.chosen").alias("flags")), "target_flags")
     there = chunks.join(flags, "chunk", "left")
     packed = there.select("chunk", "sizes", "ids", "flags").mapInArrow(sent(buckets, top), SENT)
-    back = written(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(losses_back(prior, share), BACK), "losses")
-    parts = back.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "losses")).alias("parts"))
-    return chunks.join(parts, "chunk", "left").mapInArrow(scored(buckets, top), SCORES)
+    back = written(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(summed, BACK), "bigram_counts")
+    firsts = np.zeros((top + 1, 2))
+    by_first = back.where("chunk = -1").select("counts").mapInArrow(unpacked, "first int, target double, background double").groupBy("first").agg(F.sum("target").alias("t"), F.sum("background").alias("b"))
+    for row in by_first.toLocalIterator():  # one row a word of the vocabulary at most
+        firsts[row[0]] = row.t, row.b
+    parts = back.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts")).alias("parts"))
+    return chunks.join(parts, "chunk", "left").mapInArrow(scored(buckets, top, prior, share, spark.sparkContext.broadcast(firsts)), SCORES)
