@@ -34,7 +34,7 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id:
 
     Only terms that some query asks for are counted in documents; lengths and the number of documents are over all.
     """
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w"))
+    tokens = written(docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w")), "tokens")  # read for lengths and for terms
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(words(F.col(question))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
     facts = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl"))
     tf = tokens.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
