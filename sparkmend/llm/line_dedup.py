@@ -373,4 +373,5 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width])
 
-    return rows.join(dropped, "__row", "left").select(*docs.columns, "__drop").mapInArrow(run, docs.schema)
+    # by sorting at every size: a broadcast that only small inputs allow would hide what the join costs
+    return rows.join(dropped.hint("merge"), "__row", "left").select(*docs.columns, "__drop").mapInArrow(run, docs.schema)

@@ -211,4 +211,5 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("__row"))
     keys = rows.select(F.col("__fp").alias("fp"), order.alias("o"))
     chosen = written(component_ids(keys, F.min("o")).select(F.col("picked.__row").alias("__row")).distinct(), "chosen")
-    return rows.join(chosen, "__row", "left_semi").select(*docs.columns)
+    # by sorting at every size: a broadcast that only small inputs allow would hide what the join costs
+    return rows.join(chosen.hint("merge"), "__row", "left_semi").select(*docs.columns)
