@@ -119,13 +119,13 @@ def decision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with d as (select o_orderkey, round((o_totalprice % 100) / 100, 4) as sim, case o_orderstatus when 'F' then 1.0 when 'O' then 0.7 else 0.4 end as v, o_orderkey % 3 = 0 as conflict, cast(o_orderkey % 5 as double) / 5 as low from orders)
-select o_orderkey, cast(round(least(1.0, sim + 0.25) * cast(v as double) * cast(case when conflict then 0.5 else 1.0 end as double) * (1 - cast(0.3 as double) * low), 6) as double) as confidence from d
+select o_orderkey, cast(round(least(1.0, sim + 0.25) * cast(v as double) * cast(case when conflict then 0.5 else 1.0 end as double) * (1 - cast(0.3 as double) * low), 10) as double) as confidence from d
 """)
 def answer_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("o_orderstatus")
     verdict = F.when(s == "F", "SUFFICIENT").when(s == "O", "PARTIAL").otherwise("INSUFFICIENT")
     c = X.answer_confidence(F.round((F.col("o_totalprice") % 100) / 100, 4), verdict, F.col("o_orderkey") % 3 == 0, (F.col("o_orderkey") % 5) / 5)
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(c, 6).alias("confidence"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(c, 10).alias("confidence"))
 
 
 @query("""
