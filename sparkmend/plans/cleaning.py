@@ -230,13 +230,13 @@ def broken_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with e as (select distinct o_custkey as src, l_suppkey as dst from orders join lineitem on o_orderkey = l_orderkey where o_custkey < 200),
+with e as (select distinct o_custkey as src, l_suppkey as dst from orders join lineitem on o_orderkey = l_orderkey),
  b as (select dst as src, src as dst from e where (src + dst) % 3 <> 0), r as (select count(*) as n, count(case when (dst, src) in (select (src, dst) from b) then 1 end) as back from e)
 select src, dst, round(back / n, 6) as confidence from (select dst as src, src as dst from e except select src, dst from b), r
 """)
 def inverse_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    links = written(o.where("o_custkey < 200").join(l, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct(), "links")
+    links = written(o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct(), "links")
     inverse = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     there = inverse.where("(src + dst) % 3 <> 0")
     missing = inverse.join(there, ["src", "dst"], "left_anti")

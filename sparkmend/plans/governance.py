@@ -11,11 +11,11 @@ from sparkmend.operators import governance as V
 from sparkmend.operators import memory as M
 from sparkmend.plans.registry import query, table
 
-CLAIMS = "c as (select event_id as claim_id, 'main' as namespace, cast(user_id as varchar) as subject, event_type as relation, cast(cast(round(value) as bigint) % 5 as varchar) as canonical, 'agent' || (event_id % 4) as claimant, cast(day(ts) as int) as valid_from, cast(day(ts) + 1 as int) as valid_until from events where event_id % 5 = 0)"
+CLAIMS = "c as (select event_id as claim_id, 'main' as namespace, cast(user_id as varchar) as subject, event_type as relation, cast(cast(round(value) as bigint) % 5 as varchar) as canonical, 'agent' || (event_id % 4) as claimant, cast(day(ts) as int) as valid_from, cast(day(ts) + 1 as int) as valid_until from events)"
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id % 5 = 0")
+    e = table(spark, sf_dir, "events")
     day = F.dayofmonth("ts")
     return e.select(
         F.col("event_id").alias("claim_id"), F.lit("main").alias("namespace"), F.col("user_id").cast("string").alias("subject"), F.col("event_type").alias("relation"), (F.round("value").cast("long") % 5).cast("string").alias("canonical"),
@@ -62,23 +62,23 @@ def calibration_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with t as (select cast(user_id as varchar) as subject, event_type as relation, cast(round(value) as bigint) % 3 as canonical, 's' || (event_id % 3) as source from events where value < 20)
+with t as (select cast(user_id as varchar) as subject, event_type as relation, cast(round(value) as bigint) % 3 as canonical, 's' || (event_id % 3) as source from events)
 select subject, relation, count(distinct canonical) as n_values, count(distinct source) as n_sources, string_agg(distinct cast(canonical as varchar), '|' order by cast(canonical as varchar)) as "values" from t group by 1, 2 having count(distinct canonical) >= 2 and count(distinct source) >= 2
 """)
 def contradiction_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("value < 20")
+    e = table(spark, sf_dir, "events")
     t = e.select(F.col("user_id").cast("string").alias("subject"), F.col("event_type").alias("relation"), (F.round("value").cast("long") % 3).cast("string").alias("canonical"), F.concat(F.lit("s"), (F.col("event_id") % 3).cast("string")).alias("source"))
     return V.contradictions(t)
 
 
 @query("""
-with s as (select o_custkey as conflict_id, o_orderkey as claim_id from orders where o_custkey % 10 = 0), w as (select conflict_id, max(claim_id) as winner from s where conflict_id % 20 = 0 group by 1)
+with s as (select o_custkey as conflict_id, o_orderkey as claim_id from orders), w as (select o_custkey as conflict_id, max(o_orderkey) as winner from orders where o_orderpriority = '1-URGENT' group by 1)
 select conflict_id, claim_id, case when winner is null then 'CONFLICTED' when claim_id = winner then 'ACCEPTED' else 'RETRACTED' end as verdict, coalesce(claim_id <> winner, false) as retracted from s left join w using (conflict_id)
 """)
 def adjudicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sides = table(spark, sf_dir, "orders").where("o_custkey % 10 = 0").select(F.col("o_custkey").alias("conflict_id"), F.col("o_orderkey").alias("claim_id"))
-    winners = sides.where("conflict_id % 20 = 0").groupBy("conflict_id").agg(F.max("claim_id").alias("claim_id"))
-    return V.adjudicate(sides, winners)
+    sides = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("conflict_id"), F.col("o_orderkey").alias("claim_id"), "o_orderpriority")
+    winners = sides.where("o_orderpriority = '1-URGENT'").groupBy("conflict_id").agg(F.max("claim_id").alias("claim_id"))
+    return V.adjudicate(sides.drop("o_orderpriority"), winners)
 
 
 @query("select user_id, event_type, count(*) as calls, cast(sum(case when event_type = 'error' then 1 else 0 end) as bigint) as failures, cast(trunc(avg(value * 10)) as bigint) as mean_ms from events group by 1, 2")

@@ -185,8 +185,8 @@ def from_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     places = places.union(places.where("pos % 10 = 0").select(F.col("pos") + 1, F.concat("place_id", F.lit("x")), F.concat("name", F.lit("h")), F.lit("?")))
     y = (1950 + F.col("o_orderkey") % 50).cast("string")
     prize = F.concat(F.lit("Prize "), (F.col("o_orderkey") % 6).cast("string"))
-    events = orders.where("o_orderkey < 300").select(F.col("o_orderkey").alias("pos"), F.format_string("EV%04d", F.col("o_orderkey")).alias("event_id"), F.concat_ws(" ", prize, y).alias("name"), prize.alias("prize"), F.when(F.col("o_orderkey") % 17 == 0, "1900").otherwise(y).alias("year"), F.concat(F.lit("L"), (F.col("o_orderkey") % 6).cast("string")).alias("place_id"))
-    link = orders.select((F.col("o_orderkey") * 2).alias("pos"), F.concat(F.lit("P"), F.col("o_custkey").cast("string")).alias("src"), F.when(F.col("o_orderkey") % 3 == 0, "received").otherwise("spouse").alias("rel"), F.when(F.col("o_orderkey") % 3 == 0, F.format_string("EV%04d", F.col("o_orderkey") % 310)).otherwise(F.concat(F.lit("P"), ((F.col("o_custkey") + 1) % 140).cast("string"))).alias("dst"), F.when(F.col("o_orderkey") % 3 == 0, (1950 + (F.col("o_orderkey") % 310) % 50).cast("string")).alias("year"))
+    events = orders.select(F.col("o_orderkey").alias("pos"), F.format_string("EV%04d", F.col("o_orderkey")).alias("event_id"), F.concat_ws(" ", prize, y).alias("name"), prize.alias("prize"), F.when(F.col("o_orderkey") % 17 == 0, "1900").otherwise(y).alias("year"), F.concat(F.lit("L"), (F.col("o_orderkey") % 6).cast("string")).alias("place_id"))
+    link = orders.select((F.col("o_orderkey") * 2).alias("pos"), F.concat(F.lit("P"), F.col("o_custkey").cast("string")).alias("src"), F.when(F.col("o_orderkey") % 3 == 0, "received").otherwise("spouse").alias("rel"), F.when(F.col("o_orderkey") % 3 == 0, F.when(F.col("o_orderkey") % 31 == 0, "EV-none").otherwise(F.format_string("EV%04d", F.col("o_orderkey")))).otherwise(F.concat(F.lit("P"), (F.col("o_custkey") + 1).cast("string"))).alias("dst"), F.when(F.col("o_orderkey") % 3 == 0, (1950 + F.col("o_orderkey") % 50).cast("string")).alias("year"))
     return {"people": base.union(copies), "places": places, "events": events, "relationships": link}
 
 
