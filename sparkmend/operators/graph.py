@@ -158,3 +158,32 @@ def communities(edges: DataFrame, small: int = 3, rounds: int = 20, largest: int
 
     kind = links.schema["a"].dataType.simpleString()
     return dealt.groupBy("component").applyInPandas(louvain, f"node {kind}, community {kind}")
+
+
+def members_named_in(texts: DataFrame, key: str, text: str, members: DataFrame, least: int = 2) -> DataFrame:
+    """key, community, n: communities of which a text names `least` members or more. Names are met word by word: an equi-join on each name's longest word."""
+    words = lambda c: F.array_distinct(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"))
+    longest = F.array_max(F.transform(words(F.col("name")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    names = members.where(F.length("name") > 3).select("community", "name", longest.alias("w"))
+    held = texts.select(F.col(key), F.lower(text).alias("__t"), F.explode(words(F.col(text))).alias("w"))
+    hit = held.join(names, "w").where(F.contains("__t", F.lower("name"))).select(key, "community", "name").distinct()
+    return hit.groupBy(key, "community").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
+def beam(edges: DataFrame, nodes: DataFrame, chosen: DataFrame, each: int = 15, most: int = 60) -> DataFrame:
+    """src, relation, dst: edges at the first `each` nodes of the chosen communities, in order, `most` of them."""
+    w = Window.partitionBy("community").orderBy("node")
+    first = nodes.join(chosen.select("community"), "community", "left_semi").withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= each).select("node").distinct()
+    out = edges.join(first.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "relation", "dst")
+    into = edges.join(first.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "relation", "dst")
+    return out.union(into).distinct().orderBy("src", "relation", "dst").limit(most)
+
+
+def derivation_depth(edges: DataFrame, nodes: DataFrame, relations: tuple[str, ...] = ("derived_from", "informed_by"), most: int = 6) -> DataFrame:
+    """node, depth: the longest chain of such steps from the node, up to `most`; lengths move along edges, no chain is listed."""
+    step = edges.where(F.col("relation").isin(*relations)).select("src", "dst").distinct()
+    now = nodes.select("node", F.lit(0).alias("depth"))
+    for _ in range(most):
+        longer = step.join(now.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), F.least(F.col("depth") + 1, F.lit(most)).alias("depth"))
+        now = written(now.union(longer).groupBy("node").agg(F.max("depth").alias("depth")), "depths")
+    return now

@@ -110,3 +110,36 @@ def injected(df: DataFrame, row_id: str, column: str, seed: int = 7, share: floa
     return marked.withColumn(column, F.coalesce("__new", column)).select(*df.columns), log
 
 
+
+
+def extract_usual_shape(df: DataFrame, column: str, usual: float = 0.6) -> DataFrame:
+    """Values off the column's usual shape that hold exactly one piece of that shape, no other letters, become that piece.
+
+    The usual shape must cover `usual` of the filled values and not be the only one. One profile, then a projection.
+    """
+    from sparkmend.functions.text import shape, shape_regex
+
+    text = F.col(column).cast("string")
+    shapes = df.where(text.isNotNull() & (text != "")).groupBy(shape(text).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    facts = shapes.agg(F.sum("n").alias("all"), F.max_by("s", F.struct("n", "s")).alias("top"), F.max("n").alias("most"), F.count(F.lit(1)).alias("kinds")).first()
+    if not facts["all"] or facts.kinds < 2 or facts.most < usual * facts["all"]:
+        return df
+    pattern = shape_regex(facts.top)
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    rest = F.replace(text, hits[0], F.lit(""))
+    at = F.instr(text, hits[0])
+    before, after = F.substr(text, at - 1, F.lit(1)), F.substr(text, at + F.length(hits[0]), F.lit(1))
+    edges = ((at == 1) | (before == " ")) & ((after == "") | (after == " "))
+    fits = (F.size(hits) == 1) & (hits[0] != text) & ~rest.rlike("[A-Za-z]") & (~rest.rlike("[A-Za-z0-9]") | edges)
+    return df.withColumn(column, F.when(F.coalesce(fits, F.lit(False)), hits[0]).otherwise(F.col(column)))
+
+
+def filled_from_mail(people: DataFrame, name: str, year: str, mail: str, share: float = 0.8) -> DataFrame:
+    """The table with missing mails made by the learned template, where it holds for `share` of those there, and `made` for such rows."""
+    domain, held = mail_template(people, name, year, mail)
+    if domain is None or held < share:
+        return people.withColumn("made", F.lit(False))
+    words = F.split(F.lower(F.trim(name)), r"\s+")
+    made = F.concat(words[0], F.lit("."), F.element_at(words, -1), F.lpad((F.col(year).cast("int") % 100).cast("string"), 2, "0"), F.lit("@" + domain))
+    missing = F.col(mail).isNull() & made.isNotNull()
+    return people.withColumn("made", missing).withColumn(mail, F.coalesce(mail, made))
