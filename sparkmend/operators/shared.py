@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset (tests), one below the warehouse."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         if spark.sparkContext.getCheckpointDir() is None:
