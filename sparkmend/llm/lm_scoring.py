@@ -158,9 +158,10 @@ def scored(buckets: int, top: int, prior: float, share, firsts):
                     counts[order] = np.frombuffer(b"".join(x["counts"] for x in sorted(row["parts"], key=lambda x: x["bucket"])), np.float32).reshape(-1, 2)
                     usual = prior * share.value[distinct & np.uint32(0xFFFF)][:, None]
                     losses[:-1] = -np.log((counts + usual) / (firsts.value[distinct >> np.uint32(16)] + prior))
-                ends = np.cumsum(sizes)
-                sums = np.r_[np.zeros((1, 2)), np.cumsum(losses[which], axis=0)]
-                per = np.where(sizes[:, None] > 0, (sums[ends] - sums[ends - sizes]) / np.maximum(sizes, 1)[:, None], 0.0).round(6)
+                starts, full = np.cumsum(sizes) - sizes, sizes > 0
+                per = np.zeros((len(sizes), 2))
+                if full.any():
+                    per[full] = (np.add.reduceat(losses[which], starts[full], axis=0) / sizes[full][:, None]).round(6)
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(sizes), pa.array(per[:, 0]), pa.array(per[:, 1]), pa.array((per[:, 0] - per[:, 1]).round(6))], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
     return run

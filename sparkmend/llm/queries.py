@@ -69,5 +69,36 @@ def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS10 = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL = {
+    "op2_lm_scoring": r"""
+with t as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') as w from documents),
+ c as (select word, count(*) as n from (select unnest(w) as word from t) group by 1),
+ v as (select word, n, id from (select word, n, row_number() over (order by n desc, word) as id from c) where id <= 32767),
+ k as (select 0 as id, (select sum(n) from c) - (select sum(n) from v) as n union all select id, n from v),
+ s as (select id, (n + 1) / sum(n + 1) over () as share from k),
+ tok as (select doc_id, pos, coalesce(id, 0) as id from (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from t) left join v using (word)),
+ g as (select b.*, good.doc_id is not null as chosen from (select doc_id, coalesce(lag(id) over (partition by doc_id order by pos), -1) as a, id as b from tok) b
+   left join (select distinct doc_id from labels where quality = 1 and toxic = 0) good using (doc_id)),
+ cb as (select a, b, count(*) as n, count(case when chosen then 1 end) as m from g group by 1, 2),
+ cf as (select a, count(*) as n, count(case when chosen then 1 end) as m from g group by 1),
+ l as (select doc_id, avg(-ln((cb.m + 64 * share) / (cf.m + 64))) as lt, avg(-ln((cb.n + 64 * share) / (cf.n + 64))) as lb from g join cb using (a, b) join cf using (a) join s on s.id = g.b group by 1)
+select doc_id, len(w) as n_tokens, coalesce(round(lt, 6), 0.0) as target_loss, coalesce(round(lb, 6), 0.0) as background_loss, coalesce(round(round(lt, 6) - round(lb, 6), 6), 0.0) as score from t left join l using (doc_id)
+""",
+    "op10_decontamination": f"""
+with d as (select doc_id, {WORDS10} as w from documents), b as (select item_id, {WORDS10} as w from benchmark where item_id is not null),
+ bw as (select item_id, least(10, len(w)) as n, array_to_string(w[i : i + 9], ' ') as win from (select item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) as i from b where len(w) > 0)),
+ dw as (select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') as win from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from bw) where len(w) >= n)),
+ h as (select doc_id, i, dw.n, item_id from dw join bw on dw.n = bw.n and dw.win = bw.win),
+ hw as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from h) group by 1),
+ hi as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as items from h group by 1)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hw using (doc_id) left join hi using (doc_id)
+""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
