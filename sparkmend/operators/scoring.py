@@ -86,3 +86,62 @@ def plausible_swap(born: Column, died: Column, awards: Column) -> Column:
     """Confidence that birth and death are swapped: 0.95 if every award fits the swapped life, else 0.7; null if they are in order."""
     fits = (F.size(awards) > 0) & F.forall(awards, lambda y: (y >= died + 15) & (y <= born + 1))
     return F.when(died < born, F.when(F.coalesce(fits, F.lit(False)), 0.95).otherwise(0.7))
+
+
+def implied_gender(people: DataFrame, links: DataFrame) -> DataFrame:
+    """person_id, gender, action: a father is male, a mother female; a missing gender is filled by the first link, another one is flagged."""
+    implied = links.where(F.col("rel").isin("father", "mother")).select(F.col("dst").alias("person_id"), F.when(F.col("rel") == "father", "male").otherwise("female").alias("g"), "pos")
+    first = implied.groupBy("person_id").agg(F.min_by("g", "pos").alias("first"), F.count_distinct("g").alias("kinds"))
+    out = people.select("person_id", F.col("gender").alias("own")).join(first, "person_id")
+    told = F.coalesce("own", "first")
+    action = F.when((told != F.col("first")) | (F.col("kinds") > 1), "FLAG").when(F.col("own").isNull(), "FILL")
+    return out.select("person_id", told.alias("gender"), action.alias("action")).where("action is not null")
+
+
+def award_age_flags(people: DataFrame, awards: DataFrame, youngest: int = 17, oldest: int = 100) -> DataFrame:
+    """person_id, year, age: the first award, by year, at an age outside the bounds."""
+    aged = awards.join(people, "person_id").select("person_id", "year", (F.col("year") - F.col("born")).alias("age"))
+    odd = aged.where((F.col("age") < youngest) | (F.col("age") > oldest))
+    return odd.groupBy("person_id").agg(F.min(F.struct("year", "age")).alias("x")).select("person_id", "x.year", "x.age")
+
+
+def fix_rates(errors: DataFrame, repaired: DataFrame, row_id: str, column: str) -> DataFrame:
+    """kind, errors, fixed, rate from a log of injected errors(row_id, kind, old) and the repaired column."""
+    r = repaired.select(F.col(row_id).alias("row_id"), F.col(column).alias("__v"))
+    hit = F.count(F.when(F.col("__v").eqNullSafe(F.col("old")), 1))
+    return errors.join(r, "row_id", "left").groupBy("kind").agg(F.count(F.lit(1)).alias("errors"), hit.alias("fixed")).withColumn("rate", F.round(F.col("fixed") / F.col("errors"), 6))
+
+
+def decided_trials(trials: DataFrame, key: str, passed: str) -> DataFrame:
+    """key, winner side: keys with exactly one pass and one failure; others say nothing."""
+    n = trials.groupBy(key).agg(F.count(F.when(F.col(passed), 1)).alias("p"), F.count(F.when(~F.col(passed), 1)).alias("f"), F.max(F.when(F.col(passed), F.col("side"))).alias("winner"))
+    return n.where("p = 1 and f = 1").select(key, "winner")
+
+
+def search_claims(claims: DataFrame, queries: DataFrame, k: int = 12) -> DataFrame:
+    """query_id, claim_id: live claims whose subject has a term of the question (longer than two letters, the first twelve), newest first, k a query.
+
+    Subjects and questions meet word by word.
+    """
+    terms = queries.select("query_id", F.explode(F.slice(F.filter(F.array_distinct(F.split(F.lower("question"), r"[^\p{L}\p{N}]+")), lambda w: F.length(w) > 2), 1, 12)).alias("w"))
+    live = claims.where(~F.col("write_verdict").isin("QUARANTINED") & ~F.col("retracted"))
+    held = live.select("claim_id", "asserted_at", F.explode(F.array_distinct(F.split(F.lower("subject"), r"[^\p{L}\p{N}]+"))).alias("w"))
+    hits = held.join(terms, "w").select("query_id", "claim_id", "asserted_at").distinct()
+    w = Window.partitionBy("query_id").orderBy(F.desc("asserted_at"), F.desc("claim_id"))
+    return hits.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).select("query_id", "claim_id")
+
+
+def citation(file: Column, page: Column, extraction: Column, confidence: Column, kind: Column) -> Column:
+    """`file, p. 3 (OCR 87%) [code]`."""
+    return F.concat(file, F.when(page.isNotNull(), F.concat(F.lit(", p. "), page.cast("string"))).otherwise(""), F.when(extraction == "ocr", F.concat(F.lit(" (OCR "), F.round(confidence * 100).cast("int").cast("string"), F.lit("%)"))).otherwise(""), F.when(kind.isin("code", "figure"), F.concat(F.lit(" ["), kind, F.lit("]"))).otherwise(""))
+
+
+def edited_cell(df: DataFrame, row_id: str, key, column: str, value: str | None) -> tuple[DataFrame, DataFrame]:
+    """The table with one cell set (an empty string is null), and the row as it was. Unknown columns and rows raise an error."""
+    if column not in df.columns or column == row_id:
+        raise ValueError(f"{column} cannot be edited")
+    before = df.where(F.col(row_id) == key)
+    if before.isEmpty():
+        raise ValueError(f"no row {key}")
+    new = F.lit(value if value != "" else None).cast(df.schema[column].dataType)
+    return df.withColumn(column, F.when(F.col(row_id) == key, new).otherwise(F.col(column))), before

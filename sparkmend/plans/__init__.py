@@ -1,6 +1,7 @@
 """Queries by subject; importing this package registers them all."""
 
 from sparkmend.plans import cleaning as cleaning
+from sparkmend.plans import gaps as gaps
 from sparkmend.plans import governance as governance
 from sparkmend.plans import graphs as graphs
 from sparkmend.plans import inventory as inventory
