@@ -13,6 +13,7 @@ n-grams is broadcast, and no word gathers its bigrams in one task.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,6 +33,16 @@ BACK = "chunk long, bucket int, counts binary"
 SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """An array byte by byte, highest bytes together: most are zero and shrink away."""
+    return zlib.compress(np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes(), 1)
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
@@ -46,7 +57,7 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 2 << 20):
         for text in batch.column(1).to_pylist():
             counts.update(words_of(text))
-        if len(counts) > 100_000:
+        if len(counts) > 200_000:
             yield out()
             counts = Counter()
     if counts:
@@ -100,8 +111,8 @@ def sent(buckets: int, top: int):
                 target = np.bincount(which[chosen], minlength=len(distinct)).astype(np.uint32)
                 order, cuts = ordered(distinct, buckets)
                 full = np.flatnonzero(np.diff(cuts))
-                packed = [[x[order][cuts[b] : cuts[b + 1]].tobytes() for b in full] for x in (distinct, background, target)]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([row["chunk"]] * len(full), pa.int64()), *(pa.array(p, pa.binary()) for p in packed)], names=["bucket", "chunk", "keys", "background", "target"])
+                parts = [[packed(x[order][cuts[b] : cuts[b + 1]]) for b in full] for x in (distinct, background, target)]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([row["chunk"]] * len(full), pa.int64()), *(pa.array(p, pa.binary()) for p in parts)], names=["bucket", "chunk", "keys", "background", "target"])
 
     return run
 
@@ -113,15 +124,15 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
 
     def totals(rows: list[dict]) -> pa.RecordBatch:
-        keys = [np.frombuffer(r["keys"], np.uint32) for r in rows]
+        keys = [unpacked(r["keys"], np.uint32) for r in rows]
         distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
-        both = np.stack([np.bincount(which, weights=np.concatenate([np.frombuffer(r[k], np.uint32) for r in rows]), minlength=len(distinct)) for k in ("target", "background")], axis=1)
+        both = np.stack([np.bincount(which, weights=np.concatenate([unpacked(r[k], np.uint32) for r in rows]), minlength=len(distinct)) for k in ("target", "background")], axis=1)
         first = distinct >> np.uint32(16)
         starts = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
         firsts = np.c_[first[starts], np.add.reduceat(both, starts, axis=0)]
         ends = np.cumsum([len(k) for k in keys]).tolist()
         sent_back = both.astype(np.float32)[which]
-        parts = [sent_back[a:b].tobytes() for a, b in zip([0, *ends], ends)]
+        parts = [packed(sent_back[a:b].ravel()) for a, b in zip([0, *ends], ends)]
         return pa.RecordBatch.from_arrays(
             [pa.array([*(r["chunk"] for r in rows), -1], pa.int64()), pa.array([rows[0]["bucket"]] * (len(rows) + 1), pa.int32()), pa.array([*parts, firsts.tobytes()], pa.binary())],
             names=["chunk", "bucket", "counts"],
@@ -138,7 +149,7 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield totals(held)
 
 
-def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def by_first_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column(0).to_pylist():
             rows = np.frombuffer(data).reshape(-1, 3)
@@ -155,7 +166,7 @@ def scored(buckets: int, top: int, prior: float, share, firsts):
                 losses = np.zeros((len(distinct) + 1, 2))
                 if len(distinct):
                     counts = np.empty((len(distinct), 2))
-                    counts[order] = np.frombuffer(b"".join(x["counts"] for x in sorted(row["parts"], key=lambda x: x["bucket"])), np.float32).reshape(-1, 2)
+                    counts[order] = np.concatenate([unpacked(x["counts"], np.float32) for x in sorted(row["parts"], key=lambda x: x["bucket"])]).reshape(-1, 2)
                     usual = prior * share.value[distinct & np.uint32(0xFFFF)][:, None]
                     losses[:-1] = -np.log((counts + usual) / (firsts.value[distinct >> np.uint32(16)] + prior))
                 starts, full = np.cumsum(sizes) - sizes, sizes > 0
@@ -193,11 +204,11 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, max_words: int
     flags = places.join(named, "doc_id", "left").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("chosen", F.lit(False)).alias("chosen")))).alias("flags"))
     flags = written(flags.select("chunk", F.col("flags.chosen").alias("flags")), "target_flags")
     there = chunks.join(flags, "chunk", "left")
-    packed = there.select("chunk", "sizes", "ids", "flags").mapInArrow(sent(buckets, top), SENT)
-    back = written(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(summed, BACK), "bigram_counts")
+    bigrams = there.select("chunk", "sizes", "ids", "flags").mapInArrow(sent(buckets, top), SENT)
+    back = written(bigrams.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(summed, BACK), "bigram_counts")
     firsts = np.zeros((top + 1, 2))
-    by_first = back.where("chunk = -1").select("counts").mapInArrow(unpacked, "first int, target double, background double").groupBy("first").agg(F.sum("target").alias("t"), F.sum("background").alias("b"))
-    for row in by_first.toLocalIterator():  # one row a word of the vocabulary at most
+    sums = back.where("chunk = -1").select("counts").mapInArrow(by_first_word, "first int, target double, background double").groupBy("first").agg(F.sum("target").alias("t"), F.sum("background").alias("b"))
+    for row in sums.toLocalIterator():  # one row a word of the vocabulary at most
         firsts[row[0]] = row.t, row.b
     parts = back.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts")).alias("parts"))
     return chunks.join(parts, "chunk", "left").mapInArrow(scored(buckets, top, prior, share, spark.sparkContext.broadcast(firsts)), SCORES)
