@@ -149,3 +149,19 @@ def retained(calls: DataFrame, episodes: DataFrame, as_of: Column, days: int = 3
     """Calls younger than `days`, and all of episodes that failed or ended in part."""
     kept = episodes.where(F.col("outcome").isin("FAILURE", "PARTIAL")).select("episode_id").distinct().withColumn("__k", F.lit(True))
     return calls.join(kept, "episode_id", "left").where((F.col("ts") >= as_of - F.make_dt_interval(F.lit(days))) | F.coalesce("__k", F.lit(False))).drop("__k")
+
+
+def allowed(claims: DataFrame, policies: DataFrame) -> DataFrame:
+    """The claims with `allowed`: an agent without a policy may write all, one with policies the named relations or, by `*`, any. Policies are
+    policies(namespace, agent_id, relation)."""
+    told = policies.groupBy("namespace", "agent_id").agg(F.collect_set("relation").alias("__may"))
+    out = claims.join(told, ["namespace", "agent_id"], "left")
+    return out.withColumn("allowed", F.col("__may").isNull() | F.array_contains("__may", "*") | F.coalesce(F.array_contains("__may", F.col("relation")), F.lit(False))).drop("__may")
+
+
+def within_quota(claims: DataFrame, most: int, seconds: int = 3600) -> DataFrame:
+    """The claims with `throttled`: more than `most` written ones of the namespace and agent in the time up to it, itself included.
+
+    Every claim counts that was submitted, so a batch cannot exceed what single claims could not.
+    """
+    return claims.withColumn("throttled", trailing_count(["namespace", "agent_id"], "asserted_at", seconds) > most)

@@ -139,3 +139,30 @@ def chat_pairs(turns: DataFrame, conv: str, turn: str, role: str, text: str) ->
     kept = turns.withColumn("__r", valid).where("__r is not null")
     marked = kept.select("*", F.lag("__r").over(w).alias("__before"), F.lag(text).over(w).alias("question"), F.lag(turn).over(w).alias("__turn"))
     return marked.where("__r = 'assistant' and __before = 'user'").select(F.col(conv), F.col("__turn").alias("turn"), "question", F.col(text).alias("answer"))
+
+
+def full_pass(rankings: list[DataFrame], chunks: DataFrame, questions: DataFrame, own_namespace: str, k: int = 10, fused: int = 50, rerank: Column | None = None) -> DataFrame:
+    """query_id, item, score, rank of a whole retrieval: rankings(query_id, item, rank) are fused, the best `fused` are scoped by the
+    question's year, seen only in the own namespace (or none), weighed by where their text comes from, and the best k kept.
+
+    chunks(item, text, source_file, extraction, ocr_conf, namespace); questions(query_id, question). `rerank` is a score of its own over the
+    joined columns, such as a model's UDF; without it the fused score stands.
+    """
+    from sparkmend.functions.text import provenance_weight
+    from sparkmend.operators.ranking import visible
+    from sparkmend.operators.scoring import scope_by_year
+
+    best = top_k(fuse(rankings, ["query_id"], "item"), ["query_id"], "score", "item", fused).drop("rank")
+    rows = best.join(chunks, "item").join(questions, "query_id").where(visible(F.col("namespace"), own_namespace))
+    scoped = scope_by_year(rows, "question", "source_file", ["query_id"])
+    base = F.col("score") if rerank is None else rerank
+    weighed = scoped.withColumn("score", F.round(base * provenance_weight(F.col("extraction"), F.col("ocr_conf"), F.col("text")), 9))
+    return top_k(weighed.select("query_id", "item", "score"), ["query_id"], "score", "item", k)
+
+
+def conclusions(triples: DataFrame, found: DataFrame, canonical: Column, k: int = 3) -> DataFrame:
+    """query_id, subject, relation, value: up to k distinct statements of the found chunks, in order of rank."""
+    rows = triples.join(found.select("query_id", F.col("item").alias("chunk_id"), "rank"), "chunk_id").select("query_id", "subject", "relation", canonical.alias("value"), "rank")
+    first = rows.groupBy("query_id", "subject", "relation", "value").agg(F.min("rank").alias("rank"))
+    w = Window.partitionBy("query_id").orderBy("rank", "subject", "relation", "value")
+    return first.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r", "rank")

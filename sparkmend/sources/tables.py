@@ -111,3 +111,52 @@ def transcript(text: DataFrame, key: str, line_no: str, line: str) -> DataFrame:
     body = F.when(F.col("__r").isNotNull(), F.regexp_extract(line, head, 2)).otherwise(F.col(line))
     parts = rows.select(key, F.col("__m").alias("message"), line_no, "__r", body.alias("__b")).groupBy(key, "message").agg(F.max("__r").alias("__r"), F.array_join(F.sort_array(F.collect_list(F.struct(line_no, "__b")))["__b"], "\n").alias("text"))
     return parts.select(key, "message", F.try_element_at(known, F.col("__r")).alias("role"), F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))
+
+
+def iri_tail(c: Column) -> Column:
+    return F.substring_index(c, "/", -1)
+
+
+def date_prefix(c: Column) -> Column:
+    """The first ten characters of a time stamp, if it begins with a year (a minus in front allowed)."""
+    return F.when(c.rlike("^-?[0-9]{4}"), F.substring(c, 1, 10))
+
+
+def events_of(awards: DataFrame, prize: str = "prize", year: str = "year") -> DataFrame:
+    """event_id, name, prize, year: the distinct pairs by year and prize, numbered from EV0000."""
+    from sparkmend.operators.order import ranked_all
+
+    pairs = awards.where(F.col(prize).isNotNull() & F.col(year).isNotNull()).select(F.col(prize).alias("prize"), F.col(year).cast("string").alias("year")).distinct()
+    named = ranked_all(pairs, ["year", "prize"])
+    return named.select(F.format_string("EV%04d", F.col("rank") - 1).alias("event_id"), F.concat_ws(" ", "prize", "year").alias("name"), "prize", "year")
+
+
+def load_people(raw: DataFrame, places: DataFrame) -> DataFrame:
+    """person_id, name, birth_date, death_date, gender, birth_place_id, death_place_id from rows of addresses and time stamps.
+
+    One row a person, the first by `pos`; labels that are only an item number are left out; places that are not there become null.
+    """
+    from sparkmend.operators.vote import keep_first
+
+    ids = ("person", "birth_place", "death_place")
+    named = raw.where(~F.col("name").rlike(r"^Q[0-9]+$")).select("pos", "name", *(iri_tail(F.col(c)).alias(c) for c in ids), *(date_prefix(F.col(c)).alias(c) for c in ("birth_date", "death_date")), "gender")
+    people = keep_first(named, ["person"], F.col("pos"))
+    for c in ("birth_place", "death_place"):
+        known = places.select(F.col("place_id").alias(f"{c}_id")).distinct()
+        people = people.join(known, F.col(c) == F.col(f"{c}_id"), "left")
+    return people.select(F.col("person").alias("person_id"), "name", "birth_date", "death_date", "gender", "birth_place_id", "death_place_id", "pos")
+
+
+ARTIFACT_KEYS = ("goals", "user_stories", "requirements", "files", "dependencies", "interfaces", "shared_knowledge")
+
+
+def artifact_claims(artifacts: DataFrame, key: str, body: str) -> DataFrame:
+    """key, relation, object: statements of planning documents in JSON. Lists are sorted and joined; interfaces give a statement for each
+    `Class.method(signature)`."""
+    schema = ", ".join(f"{k} array<string>" for k in ARTIFACT_KEYS if k != "interfaces") + ", interfaces string"
+    parsed = artifacts.select(F.col(key).alias("key"), F.from_json(body, schema).alias("j"))
+    lists = [F.struct(F.lit(k).alias("relation"), F.array_join(F.sort_array(F.col(f"j.{k}")), "; ").alias("object")) for k in ARTIFACT_KEYS if k != "interfaces"]
+    plain = parsed.select("key", F.explode(F.array(*lists)).alias("x")).select("key", "x.relation", "x.object").where("object <> ''")
+    blocks = parsed.select("key", F.explode(F.split(F.coalesce(F.col("j.interfaces"), F.lit("")), r"(?=\bclass\s)")).alias("b")).withColumn("c", F.regexp_extract("b", r"class\s+(\w+)", 1)).where("c <> ''")
+    methods = blocks.select("key", "c", F.explode(F.regexp_extract_all("b", F.lit(r"[+\-]?\s*(\w+\([^)]*\))"), F.lit(1))).alias("m"))
+    return plain.unionByName(methods.select("key", F.lit("interface").alias("relation"), F.concat("c", F.lit("."), "m").alias("object")))
