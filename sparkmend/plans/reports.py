@@ -34,7 +34,9 @@ def strip_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select p_partkey, p_name, p_type from part
+with d as (select p_partkey, case when p_partkey % 3 = 0 then p_name || ' ' || p_type else p_name end as n, p_type from part), e as (select *, ends_with(n, ' ' || p_type) as ends, rtrim(substr(n, 1, length(n) - length(p_type) - 1), ' ,') as short from d),
+ c as (select count(case when ends then 1 end) as hits, count(*) as rows from e)
+select p_partkey, case when ends and hits >= 5 and hits < 0.5 * rows and short in (select n from d) then short else n end as p_name, p_type from e, c
 """)
 def redundant_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" "), "p_type")).otherwise(F.col("p_name")).alias("p_name"), "p_type")
