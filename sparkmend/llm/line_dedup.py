@@ -8,6 +8,11 @@ parities are near, are verified on their texts by banded bit-parallel edit dista
 
 A key of more than CROWDED lines is dealt again by fifths of the parity word (of five parts one is equal), and a part
 still larger by tiles of lines, so neither a task's memory nor the number of rows grows with the square of a crowd.
+
+Lines of LONG characters and more may differ by a tenth of the longer one's characters. Segments for so many edits would be
+too short to tell lines apart, so these pairs come from the least of their GRAM-character substrings by HASHES hash functions
+(a pair whose substrings have Jaccard similarity J is missed with probability (1 - J) ** HASHES), beside the segments, which
+miss no pair within two edits. All pairs are verified.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from sparkmend.operators.components import connected_components
 from sparkmend.operators.shared import written
 
 EDITS, LEAST_CHARS = 2, 20
+LONG, GRAM, HASHES = 50, 16, 12
 CROWDED, TILE = 256, 4096
 PARTS = ((0, 7), (7, 7), (14, 6), (20, 6), (26, 6))
 FILTER_BITS = 26
@@ -40,6 +46,41 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def edits_allowed(longer):
+    """Of a pair, by the length of its longer line (a number or an array)."""
+    return np.where(np.asarray(longer) >= LONG, np.asarray(longer) // 10, EDITS)
+
+
+def within_many(a: str, b: str, most: int) -> bool:
+    """As within(), for many edits: whole columns as one integer (Myers 1999), after equal ends are cut off."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    start, least = 0, min(len(a), len(b))
+    while start < least and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < least - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if not a or not b:
+        return max(len(a), len(b)) <= most
+    masks: dict[str, int] = {}
+    for i, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, distance = full, 0, len(a)
+    for left, c in zip(range(len(b) - 1, -1, -1), b):
+        equal = masks.get(c, 0)
+        cross = (((equal & up) + up) ^ up | equal) & full
+        plus, minus = down | (full & ~(cross | up)), up & cross
+        distance += 1 if plus & top else -1 if minus & top else 0
+        if distance - left > most:
+            return False
+        plus, minus = (plus << 1 | 1) & full, minus << 1 & full
+        up, down = minus | (full & ~(equal | down | plus)), plus & (equal | down)
+    return distance <= most
+
+
 def within(a: str, b: str, most: int) -> bool:
     """Whether the edit distance is at most `most`: bit-parallel (Hyyro 2003) over the band of 2 * most + 1 diagonals.
 
@@ -118,6 +159,39 @@ def parities(lines: list[str]) -> np.ndarray:
     return np.packbits(odd, axis=1, bitorder="little").view("<u4").ravel()
 
 
+def class_counts(lines: list[str]) -> np.ndarray:
+    """How many characters of each of 32 classes a line has; an edit changes their sum of differences by two at most."""
+    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = (chars * np.uint32(0x9E3779B1)) >> np.uint32(27)
+    cell = np.repeat(np.arange(len(lines), dtype=np.int64) << 5, np.fromiter(map(len, lines), np.int64, len(lines))) + kind
+    return np.bincount(cell, minlength=len(lines) << 5).astype(np.int32).reshape(-1, 32)
+
+
+def least_grams(lines: list[str]) -> np.ndarray:
+    """HASHES keys a line of GRAM characters and more: for each hash function the least hash of its substrings."""
+    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    mixed = (chars + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    step = 1
+    while step < GRAM:  # hashes of twice as many characters each time
+        mixed[:-step] = (mixed[:-step] * np.uint64(0xD6E8FEB86659FD93)) ^ ((mixed[step:] ^ mixed[step:] >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9))
+        step *= 2
+    mixed ^= mixed >> np.uint64(31)
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    begins = np.cumsum(size) - size
+    inside = np.ones(len(chars), bool)
+    for back in range(1, GRAM):
+        inside[begins + size - back] = False
+    mixed = mixed[inside]
+    starts = np.cumsum(size - GRAM + 1) - (size - GRAM + 1)
+    keys = np.empty((len(lines), HASHES), np.uint64)
+    for k in range(HASHES):
+        x = (mixed ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        keys[:, k] = np.minimum.reduceat(x, starts)
+    return keys
+
+
 def lines_of(text: str | None) -> list[str]:
     return text.split("\n") if text else []
 
@@ -155,6 +229,63 @@ def key_rows(buckets: int, at: int):
     return run
 
 
+def long_key_rows(buckets: int, at: int):
+    """Packed keys of the distinct long lines of each batch, with the lines' lengths in place of parities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1 << 20):
+            lines = list({line: None for text in batch.column(at).to_pylist() for line in lines_of(text) if len(line) >= LONG * 9 // 10})
+            if not lines:
+                continue
+            key = least_grams(lines).ravel()
+            line = np.repeat(np.array([hash_of(x) for x in lines], np.uint64), HASHES)
+            size = np.repeat(np.fromiter(map(len, lines), np.uint32, len(lines)), HASHES)
+            bucket = (key % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            full = np.flatnonzero(np.diff(cuts))
+            packed = [[x[order][cuts[b] : cuts[b + 1]].tobytes() for b in full] for x in (key, line, size)]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(p, pa.binary()) for p in packed)], names=["bucket", "keys", "lines", "parity"])
+
+    return run
+
+
+def long_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """grp, line of lines that share a key and have lengths near enough; a group is named by its lines, so equal ones fall together."""
+    columns: list[list[bytes]] = [[], [], []]
+    for batch in batches:
+        for c, k in zip(columns, (1, 2, 3)):
+            c += batch.column(k).to_pylist()
+    if not columns[0]:
+        return
+    key, line = (np.frombuffer(b"".join(c), np.uint64) for c in columns[:2])
+    size = np.frombuffer(b"".join(columns[2]), np.uint32).astype(np.int64)
+    columns.clear()
+    order = np.lexsort((line, size, key))
+    key, line, size = key[order], line[order], size[order]
+    fresh = np.r_[True, (key[1:] != key[:-1]) | (line[1:] != line[:-1])]
+    key, line, size = key[fresh], line[fresh], size[fresh]
+    # by length below a key: a gap that no pair bridges ends a group
+    starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (size[1:] - size[:-1] > edits_allowed(size[1:]))])
+    ends = np.r_[starts[1:], len(key)]
+    groups, lines = [], []
+    for a, b in zip(*(x[ends - starts > 1].tolist() for x in (starts, ends))):
+        mine = np.sort(line[a:b])
+        tiles = -(-len(mine) // TILE)
+        which = (mine % np.uint64(tiles)).astype(np.int64)
+        parts = [mine[which == t] for t in range(tiles)]
+        for t in range(tiles):
+            for u in range(t, tiles):
+                own = parts[t] if t == u else np.sort(np.r_[parts[t], parts[u]])
+                groups.append(np.full(len(own), xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63), np.int64))
+                lines.append(own)
+        if len(groups) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups)), pa.array(signed(np.concatenate(lines)))], names=["grp", "line"])
+            groups, lines = [], []
+    if groups:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups)), pa.array(signed(np.concatenate(lines)))], names=["grp", "line"])
+
+
 def near_parity(parity: np.ndarray) -> np.ndarray:
     """Whether a line has another in the group whose parity is near."""
     out = np.zeros(len(parity), bool)
@@ -267,12 +398,14 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 i = root[i]
             return i
 
-        parity, size = parities(texts), np.fromiter(map(len, texts), np.int64, n)
+        counts, size = class_counts(texts), np.fromiter(map(len, texts), np.int64, n)
         for i in range(n - 1):
-            near = (np.bitwise_count(parity[i + 1 :] ^ parity[i]) <= 2 * EDITS) & (np.abs(size[i + 1 :] - size[i]) <= EDITS)
-            for j in (np.flatnonzero(near) + i + 1).tolist():
+            most = edits_allowed(np.maximum(size[i + 1 :], size[i]))
+            at = np.flatnonzero(np.abs(size[i + 1 :] - size[i]) <= most)
+            at = at[np.abs(counts[at + i + 1] - counts[i]).sum(axis=1) <= 2 * most[at]]
+            for j, k in zip((at + i + 1).tolist(), most[at].tolist()):
                 a, b = find(i), find(j)
-                if a != b and within(texts[i], texts[j], EDITS):
+                if a != b and (within if k <= EDITS else within_many)(texts[i], texts[j], k):
                     root[max(a, b)] = min(a, b)
         pairs = [(lines[i], lines[r]) for i in range(n) if (r := find(i)) != i]
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["src", "dst"])
@@ -291,11 +424,14 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def line_links(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """node, component for the distinct lines (64-bit hashes) that are within EDITS edits of another."""
+    """node, component for the distinct lines (64-bit hashes) that are near another: within EDITS edits, or a tenth of the longer one's LONG and more characters."""
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = docs.mapInArrow(key_rows(buckets, docs.columns.index(text_col)), KEYS)
-    found = written(packed.repartition("bucket").mapInArrow(members, "grp long, line long"), "line_groups")
+    at = docs.columns.index(text_col)
+    packed, long_packed = docs.mapInArrow(key_rows(buckets, at), KEYS), docs.mapInArrow(long_key_rows(buckets, at), KEYS)
+    near = packed.repartition("bucket").mapInArrow(members, "grp long, line long")
+    long_near = long_packed.repartition("bucket").mapInArrow(long_members, "grp long, line long")
+    found = written(near.union(long_near).distinct(), "line_groups")
     texts = texts_of(docs, text_col, bitmap(found.select("line"))).groupBy("line").agg(F.min("text").alias("text"))
     texts = written(texts, "line_texts")
     rows = found.join(texts, "line").select("grp", "line", "text").repartition("grp").sortWithinPartitions("grp", "line")
@@ -337,7 +473,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row a line with more than white space: doc_id, line_no, n_chars, class_doc_id, class_line_no, kept.
 
     A class holds equal lines, and lines of LEAST_CHARS characters or more that a chain of lines links, each within EDITS edits of the
-    next (a similarity of 0.9 or more). Its first line, by id (null ids first) and line number, is the class and is
+    next, or, if one has LONG characters or more, within a tenth of the longer one's (a similarity of 0.9 or more; of such pairs with
+    more than EDITS edits some are missed, see above). Its first line, by id (null ids first) and line number, is the class and is
     kept. Null, empty and blank texts have no such lines. Of repeated rows of one id and text all first lines are kept here, as
     they have the same place. Lines are told apart by 64-bit hashes. An empty table gives an empty result.
     """

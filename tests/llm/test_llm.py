@@ -336,6 +336,29 @@ def test_banded_distance():
             assert line_dedup.within(a, b, most) == (distance(a, b) <= most)
 
 
+def test_distance_of_many_edits():
+    r = random.Random(10)
+    for _ in range(1000):
+        a = "".join(r.choice("abc") for _ in range(r.randrange(1, 40)))
+        b = edited(r, a, r.randrange(9)) if len(a) > 10 else "".join(r.choice("abc") for _ in range(r.randrange(12)))
+        for most in (0, 3, 6):
+            assert line_dedup.within_many(a, b, most) == (distance(a, b) <= most)
+
+
+def test_long_lines_may_differ_by_a_tenth(spark):
+    r = random.Random(11)
+    lines = [" ".join("".join(r.choice("abcdefghij") for _ in range(r.randrange(3, 9))) for _ in range(30)) for _ in range(20)]
+    rows = [(i, line) for i, line in enumerate(lines)]
+    for i, line in enumerate(lines):  # two words changed: some ten edits
+        words = line.split(" ")
+        for at in (4, 20):
+            words[at] = "zzzzz"
+        rows.append((100 + i, " ".join(words)))
+    rows.append((200, lines[0][: len(lines[0]) * 3 // 4] + "z" * (len(lines[0]) // 4)))  # a quarter: too far
+    got = {x.doc_id: x.class_doc_id for x in line_dedup.line_classes(frame(spark, rows)).collect()}
+    assert got == {**{i: i for i in range(20)}, **{100 + i: i for i in range(20)}, 200: 200}
+
+
 def test_repeated_lines_go(spark):
     rows = [(1, "a line that is long enough\nshort\n\nshort"), (2, "a line that is long enouhg\nshort\nown"), (3, None), (4, "short")]
     df = frame(spark, rows)
