@@ -2,8 +2,10 @@
 
 A known word adds its log frequency in every language. An unseen word is read as padded character n-grams of
 the longest length of which any is known, and adds their mean. The model is fitted on a bounded sample of
-labelled documents (train_rows, in expectation; chosen by a hash of the id, the same in every run), read whole,
-and keeps the max_words and max_grams most frequent entries, so what is sent to executors is bounded.
+labelled documents of each language (train_rows divided among the languages, or LEAST_ROWS if that is more, in expectation;
+chosen by a hash of the id, the same in every run), read whole, and keeps the max_words and max_grams entries of the largest
+share in any language, with their counts in all, so what is sent to executors is bounded. Every language is smoothed by the
+same prior, the mean of all languages' shares with the weight of PRIOR tokens: one of few tokens gains nothing by that.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from sparkmend.operators.shared import written
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST_GRAM = 4
 UNKNOWN = "und"
+LEAST_ROWS, PRIOR = 1_000, 1_000.0
 COUNTS_SCHEMA = "lang string, size int, item string, n long"
 OUT_SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -77,25 +80,25 @@ def fit(docs: DataFrame, train_rows: int = 10_000, max_words: int = 40_000, max_
     """Learns from rows that have a text and a language and are not held out."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    there = rows.count()  # reads two columns only
-    share = min(1.0, train_rows / max(1, there))
-    grain = 1 << 30
-    sample = rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(grain)) < int(share * grain)))
+    there = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # reads two columns only
+    each, grain = max(LEAST_ROWS, train_rows // max(1, len(there))), 1 << 30
+    cuts = docs.sparkSession.createDataFrame([(lang, int(min(1.0, each / n) * grain)) for lang, n in there.items()], "lang string, cut long")
+    drawn = rows.where(F.col("text").isNotNull()).join(F.broadcast(cuts), "lang")
+    sample = drawn.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(grain)) < F.col("cut")).select("doc_id", "text", "lang")
     counts = sample.mapInArrow(gathered, COUNTS_SCHEMA).groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
     counts = written(counts, "language_counts")  # asked three times
-    totals = {(r.lang, r.size): (r.n, r.kinds) for r in counts.groupBy("lang", "size").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()}
+    sums = counts.groupBy("lang", "size").agg(F.sum("n").alias("own"))
+    totals = {(r.lang, r.size): r.own for r in sums.collect()}
     langs = sorted({lang for lang, _ in totals})
 
     def most(frame: DataFrame, limit: int) -> dict[str, list[float]]:
-        found: dict[str, dict[str, int]] = {}
-        sizes: dict[str, int] = {}
-        for r in frame.orderBy(F.desc("n"), "item", "lang").limit(limit).toLocalIterator():
-            found.setdefault(r.item, {})[r.lang] = r.n
-            sizes[r.item] = r.size
+        items = frame.join(F.broadcast(sums), ["lang", "size"]).groupBy("size", "item").agg(F.max(F.col("n") / F.col("own")).alias("share"), F.collect_list(F.struct("lang", "n")).alias("by"))
         out = {}
-        for item, by in found.items():
-            size = sizes[item]
-            out[item] = [math.log((by.get(lang, 0) + 0.1) / (totals.get((lang, size), (0, 0))[0] + 0.1 * totals.get((lang, size), (0, 1))[1] + 1)) for lang in langs]
+        for r in items.orderBy(F.desc("share"), "item").limit(limit).toLocalIterator():
+            by = {x.lang: x.n for x in r.by}
+            own = [totals.get((lang, r.size), 0) for lang in langs]
+            usual = sum(by.get(lang, 0) / n for lang, n in zip(langs, own) if n) / len(langs)
+            out[r.item] = [math.log((by.get(lang, 0) + PRIOR * usual) / (n + PRIOR)) for lang, n in zip(langs, own)]
         return out
 
     return Model(langs, most(counts.where("size = 0"), max_words), most(counts.where("size > 0"), max_grams))

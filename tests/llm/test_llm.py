@@ -421,6 +421,17 @@ def test_language_id(spark, docs, odd):
     assert {r.lang_pred for r in langid.language_id(df, empty).collect()} == {"und"}
 
 
+def test_a_language_of_few_words_wins_no_other_text(spark):
+    r = random.Random(12)
+    kinds = {"a": "abcde", "b": "fghij"}
+    words = {k: ["".join(r.choice(c) for _ in range(r.randrange(3, 8))) for _ in range(3000)] for k, c in kinds.items()}
+    rows = [(i, " ".join(r.choice(words["ab"[i % 2]]) for _ in range(60)), "ab"[i % 2]) for i in range(400)]
+    rare = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 4 != 2)
+    df = spark.createDataFrame([*rows, (rare, "klmno pqrst uvwxy klmno", "rare")], "doc_id long, text string, lang string")
+    got = langid.language_id(df, langid.fit(df, train_rows=30)).join(df.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(x.lang_pred == x.lang for x in got) == len(rows) + 1
+
+
 def test_held_out_rows_and_fields_teach_nothing(spark):
     kept = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 == 2]
     rows = [(i, "zzz qqq", "bad") for i in kept] + [(i, "aaa bbb", "good") for i in range(200) if i not in kept]
