@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkmend.llm.columns import slices
+from sparkmend.operators.shared import written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -187,9 +188,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, str | None]]]:
-    """The test set in blocks of bounded size."""
-    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).where(F.col(item_col).isNotNull())
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, nameless: bool = False) -> Iterator[list[tuple[str, str | None]]]:
+    """The test set in blocks of bounded size; items without an id only if `nameless`, with the empty id."""
+    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string"))
+    rows = rows.na.fill("", [item_col]) if nameless else rows.where(F.col(item_col).isNotNull())
     some, size = [], 0
     for key, text in rows.toLocalIterator():
         some.append((key, text))
@@ -254,8 +256,8 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
 def remove_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text") -> DataFrame:
     """The documents, same columns, without the passages that with_hits finds; clean texts stay as they are.
 
-    A cut can bring words together that again form a test phrase, so a changed text is searched until it is clean.
-    With several blocks of test items each block's pass cleans for itself.
+    Items with a null id are cut like any other. A cut can bring words together that again form a test phrase, so a changed
+    text is searched until it is clean. With several blocks of test items their passes are repeated until no text gets shorter.
     """
     context, at = docs.sparkSession.sparkContext, docs.columns.index(text_col)
 
@@ -279,8 +281,17 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_co
 
         return run
 
-    out = docs
-    for block in blocks(benchmark, "item_id", "text"):
-        out = out.mapInArrow(passed(context.broadcast(block)), docs.schema)
+    bounds = [context.broadcast(block) for block in blocks(benchmark, "item_id", "text", nameless=True)]
+
+    def once(out: DataFrame) -> DataFrame:
+        for bound in bounds:
+            out = out.mapInArrow(passed(bound), docs.schema)
+        return out
+
+    if len(bounds) == 1:
+        return once(docs)
+    size, before, out = F.sum(F.length(text_col)), None, docs
+    while (now := out.agg(size).first()[0]) != before:
+        before, out = now, written(once(out), "cut")
     return out
 

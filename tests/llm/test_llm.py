@@ -503,6 +503,14 @@ def test_decontamination(spark, odd, monkeypatch, block):
     assert not decontam.decontamination(df, bench.limit(0)).where("contaminated").count()
 
 
+def test_nothing_of_nameless_items_or_earlier_blocks_stays(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 1)
+    items = spark.createDataFrame([(1, "a b c d"), (2, "x y z"), (None, "n o p q")], "item_id long, text string")
+    df = frame(spark, [(1, "s a b x y z c d t"), (2, "s n o p q t"), (3, None)])
+    got = {r.doc_id: r.text and r.text.split() for r in decontam.remove_hits(df, items, window=4).collect()}
+    assert got == {1: ["s", "t"], 2: ["s", "t"], 3: None}
+
+
 def test_fm_index_finds_every_place():
     r = random.Random(13)
     seq = [r.randrange(1, 4) for _ in range(300)] + [0] + [1] * 90 + [0] + [r.randrange(1, 4) for _ in range(200)] + [0]
