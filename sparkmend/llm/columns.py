@@ -29,3 +29,12 @@ def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iter
             yield batch.slice(start, step)
 
 
+def fresh(frame: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as it takes for the table to have none of them in any case."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
