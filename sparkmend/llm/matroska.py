@@ -1,8 +1,9 @@
 """Media columns: Matroska.
 
 The demuxer walks EBML elements (variable-length ids and sizes, unknown sizes, void and foreign elements),
-clusters, simple blocks and block groups with all four kinds of lacing, and cues, and gives a packet table.
-The muxer stores a payload as 8-bit samples, so texts go through real files and come back byte for byte.
+clusters, simple blocks and block groups with all four kinds of lacing, and cues, and gives tables of packets, tracks and
+cues. A frame of a lace has its own timestamp, by the track's default duration or else the group's duration; a frame of a group is a
+key frame if the group refers to no other. The muxer stores a payload as 8-bit samples, so texts go through real files and come back byte for byte.
 """
 
 from __future__ import annotations
@@ -10,11 +11,13 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sparkmend.llm.columns import keyed_text, slices
 
@@ -22,6 +25,7 @@ from sparkmend.llm.columns import keyed_text, slices
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, VOID = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B, 0xEC
 TIMESTAMP_SCALE, DURATION, TRACK_ENTRY, TRACK_NUMBER, TRACK_TYPE, CODEC_ID, AUDIO = 0x2AD7B1, 0x4489, 0xAE, 0xD7, 0x83, 0x86, 0xE1
 SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xB5, 0x9F, 0x6264, 0xE7, 0xA3, 0xA0, 0xA1
+REFERENCE_BLOCK, BLOCK_DURATION, DEFAULT_DURATION = 0xFB, 0x9B, 0x23E383
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION, DOC_TYPE, MUXING_APP = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1, 0x4282, 0x4D80
 MASTERS = {SEGMENT, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS, INFO, EBML}
 TOP_LEVEL = {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469}
@@ -30,6 +34,8 @@ NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
 FRAME, RATE, FRAMES_A_BLOCK, BLOCKS_A_CLUSTER = 192, 8000, 8, 32
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 PACKETS = "doc_id long, packet int, track int, cluster int, timestamp long, keyframe boolean, offset long, size long"
+TRACKS_OF = "doc_id long, track int, type int, codec string, rate double, channels int, bits int, default_duration long"
+CUES_OF = "doc_id long, cue int, track int, timestamp long, cluster_offset long, first_packet int"
 
 
 class Packet(NamedTuple):
@@ -44,9 +50,15 @@ class Packet(NamedTuple):
 class Media(NamedTuple):
     packets: list[Packet]
     tracks: dict[int, dict]
-    cues: list[tuple[int, int, int]]
+    cues: list[tuple[int, int, int]]  # timestamp, track, byte offset of the cluster in the file
     scale: int
     duration: float | None
+    clusters: dict[int, int]  # first packet by byte offset of the cluster
+
+    def sought(self, timestamp: int, track: int) -> int:
+        """The packet to start reading at for a time: the first of the cluster that the last cue at or before it names (0 without one)."""
+        before = [c for c in self.cues if c[1] == track and c[0] <= timestamp]
+        return self.clusters.get(max(before)[2], 0) if before else 0
 
 
 def size_code(n: int) -> bytes:
@@ -87,7 +99,7 @@ def block(frames: list[bytes], track: int, relative: int, lacing: int) -> bytes:
 
 
 HEAD = element(EBML, element(DOC_TYPE, b"matroska"))
-TRACK = element(TRACKS, element(TRACK_ENTRY, number(TRACK_NUMBER, 1) + number(TRACK_TYPE, 2) + element(CODEC_ID, b"A_PCM/INT/LIT") + element(AUDIO, element(SAMPLING_FREQUENCY, struct.pack(">d", RATE)) + number(CHANNELS, 1) + number(BIT_DEPTH, 8))))
+TRACK = element(TRACKS, element(TRACK_ENTRY, number(TRACK_NUMBER, 1) + number(TRACK_TYPE, 2) + number(DEFAULT_DURATION, FRAME * 1_000_000_000 // RATE) + element(CODEC_ID, b"A_PCM/INT/LIT") + element(AUDIO, element(SAMPLING_FREQUENCY, struct.pack(">d", RATE)) + number(CHANNELS, 1) + number(BIT_DEPTH, 8))))
 
 
 def mux(frames: list[bytes], lacing: int = FIXED, frames_a_block: int = FRAMES_A_BLOCK) -> bytes:
@@ -164,14 +176,16 @@ def demux(data: bytes) -> Media:
     packets: list[Packet] = []
     tracks: dict[int, dict] = {}
     cues: list[tuple[int, int, int]] = []
-    facts = {"scale": 1_000_000, "duration": None, "clock": 0, "cluster": -1}
+    clusters: dict[int, int] = {}
+    facts = {"scale": 1_000_000, "duration": None, "clock": 0, "cluster": -1, "segment": 0}
 
-    def add(at: int, end: int, simple: bool) -> None:
+    def add(at: int, end: int, keyframe: bool | None, duration: int | None) -> None:
         track, at, _ = vint(data, at)
         relative, flags = struct.unpack_from(">hB", data, at)
-        lacing = flags >> 1 & 3
-        for offset, size in frames_of(data, at + 3, end, lacing):
-            packets.append(Packet(track, facts["cluster"], facts["clock"] + relative, bool(flags & 0x80) if simple else True, offset, size))
+        frames = frames_of(data, at + 3, end, flags >> 1 & 3)
+        each = tracks.get(track, {}).get(DEFAULT_DURATION, 0) / facts["scale"] or (duration or 0) / len(frames)
+        for i, (offset, size) in enumerate(frames):
+            packets.append(Packet(track, facts["cluster"], facts["clock"] + relative + int(i * each), bool(flags & 0x80) if keyframe is None else keyframe, offset, size))
 
     def walk(at: int, end: int, parent: int, into: dict) -> int:
         while at < end:
@@ -182,19 +196,26 @@ def demux(data: bytes) -> Media:
             stop = end if unknown else start + size
             if stop > end:
                 raise ValueError(f"element {kind:x} exceeds its parent")
-            if kind == SIMPLE_BLOCK or kind == BLOCK:
-                add(start, stop, kind == SIMPLE_BLOCK)
+            if kind == SIMPLE_BLOCK:
+                add(start, stop, None, None)
+            elif kind == BLOCK:
+                into["block"] = start, stop
             elif kind == CLUSTER:
                 facts["cluster"] += 1
                 facts["clock"] = 0
+                clusters[at] = len(packets)
                 stop = walk(start, stop, CLUSTER, {"open": unknown})
             elif kind in MASTERS:
                 found: dict = into if kind == AUDIO else {}
+                if kind == SEGMENT:
+                    facts["segment"] = start
                 walk(start, stop, kind, found)
-                if kind == TRACK_ENTRY:
+                if kind == BLOCK_GROUP and "block" in found:
+                    add(*found["block"], REFERENCE_BLOCK not in found, found.get(BLOCK_DURATION))
+                elif kind == TRACK_ENTRY:
                     tracks[found.get(TRACK_NUMBER, len(tracks) + 1)] = found
                 elif kind == CUE_POINT:
-                    cues.extend((found.get(CUE_TIME, 0), t, p) for t, p in found.get("at", []))
+                    cues.extend((found.get(CUE_TIME, 0), t, facts["segment"] + p) for t, p in found.get("at", []))
                 elif kind == CUE_TRACK_POSITIONS:
                     into.setdefault("at", []).append((found.get(CUE_TRACK, 0), found.get(CUE_CLUSTER_POSITION, 0)))
             elif kind in (SAMPLING_FREQUENCY, DURATION):
@@ -214,7 +235,7 @@ def demux(data: bytes) -> Media:
         return at
 
     walk(0, len(data), 0, {})
-    return Media(packets, tracks, cues, facts["scale"], facts["duration"])
+    return Media(packets, tracks, cues, facts["scale"], facts["duration"], clusters)
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -255,24 +276,36 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return keyed_text(docs, id_col, text_col).mapInArrow(run, FEATURES)
 
 
-def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row a packet of binary media files: timestamps in the file's ticks, tracks and byte ranges.
-
-    A null, empty or damaged file has no packets.
-    """
+def table_of(media: DataFrame, ddl: str, rows_of: Callable[[Media], list[tuple]], id_col: str, media_col: str) -> DataFrame:
+    """Rows of each file behind its id; a null, empty or damaged file has none. Null and repeated ids stay; other columns are not read."""
+    schema = T.StructType.fromDDL(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "packet", "track", "cluster", "timestamp", "keyframe", "offset", "size"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+        kinds = to_arrow_schema(schema)
         for batch in slices(batches):
             rows = []
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    found = demux(data or b"").packets
+                    rows += [(key, *r) for r in rows_of(demux(data or b""))]
                 except (ValueError, IndexError, struct.error):
-                    found = []
-                rows += [(key, i, *p) for i, p in enumerate(found)]
-            columns = zip(*rows) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
+                    continue
+            columns = zip(*rows) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k.type) for c, k in zip(columns, kinds)], schema=kinds)
+
+    return media.select(media[id_col].cast("long").alias("doc_id"), media[media_col].cast("binary").alias("media")).mapInArrow(run, schema)
+
+
+def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """One row a packet of binary media files: track, cluster, timestamp in the file's ticks, key frame, byte range. Edge cases as in table_of."""
+    return table_of(media, PACKETS, lambda m: [(i, *p) for i, p in enumerate(m.packets)], id_col, media_col)
+
+
+def track_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """One row a track: number, type, codec, and what it has of rate, channels, bits and default duration (nanoseconds). Edge cases as in table_of."""
+    fields = (TRACK_TYPE, CODEC_ID, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH, DEFAULT_DURATION)
+    return table_of(media, TRACKS_OF, lambda m: [(n, *(t.get(f) for f in fields)) for n, t in sorted(m.tracks.items())], id_col, media_col)
+
 
-    return media.select(media[id_col].cast("long").alias("doc_id"), media[media_col].cast("binary").alias("media")).mapInArrow(run, PACKETS)
+def cue_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """One row a cue: its track and time, where in the file its cluster begins, and that cluster's first packet (null if there is no cluster). Edge cases as in table_of."""
+    return table_of(media, CUES_OF, lambda m: [(i, track, at, offset, m.clusters.get(offset)) for i, (at, track, offset) in enumerate(m.cues)], id_col, media_col)
