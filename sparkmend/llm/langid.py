@@ -3,14 +3,13 @@
 A known word adds its log frequency in every language. An unseen word is read as padded character n-grams of
 the longest length of which any is known, and adds their mean. The model is fitted on a bounded sample of
 labelled documents of each language (train_rows divided among the languages, or LEAST_ROWS if that is more, in expectation;
-chosen by a hash of the id, the same in every run), read whole, and keeps the max_words and max_grams entries of the largest
-share in any language, with their counts in all, so what is sent to executors is bounded. Every language is smoothed by the
-same prior, the mean of all languages' shares with the weight of PRIOR tokens: one of few tokens gains nothing by that.
+chosen by a hash of the id, the same in every run), read whole, and holds every word and n-gram of that sample with its
+counts in all languages; the sample's bound is the model's. Every language is smoothed by the same prior, the mean of all languages' shares with
+the weight of PRIOR tokens: one of few tokens gains nothing by that.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -18,6 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +33,13 @@ OUT_SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
 class Model(NamedTuple):
+    """Log frequencies, a column for each language, of words and of n-grams."""
+
     langs: list[str]
-    words: dict[str, list[float]]  # log frequencies, one for each language
-    grams: dict[str, list[float]]
+    words: list[str]
+    word_rows: np.ndarray
+    grams: list[str]
+    gram_rows: np.ndarray
 
 
 def held_out(id_col: Column, fold: int = 2, folds: int = 4) -> Column:
@@ -53,7 +57,7 @@ def words_of(text: str) -> list[str]:
 
 def grams_of(word: str, size: int) -> list[str]:
     padded = f" {word} "
-    return [padded[i : i + size] for i in range(len(padded) - size + 1)]
+    return [padded[i : i + size] for i in range(len(padded) - size + 1)] if size > 1 else list(word)
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +80,7 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["lang", "size", "item", "n"])
 
 
-def fit(docs: DataFrame, train_rows: int = 10_000, max_words: int = 40_000, max_grams: int = 40_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, train_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from rows that have a text and a language and are not held out."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
@@ -86,22 +90,28 @@ def fit(docs: DataFrame, train_rows: int = 10_000, max_words: int = 40_000, max_
     drawn = rows.where(F.col("text").isNotNull()).join(F.broadcast(cuts), "lang")
     sample = drawn.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(grain)) < F.col("cut")).select("doc_id", "text", "lang")
     counts = sample.mapInArrow(gathered, COUNTS_SCHEMA).groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
-    counts = written(counts, "language_counts")  # asked three times
-    sums = counts.groupBy("lang", "size").agg(F.sum("n").alias("own"))
-    totals = {(r.lang, r.size): r.own for r in sums.collect()}
-    langs = sorted({lang for lang, _ in totals})
-
-    def most(frame: DataFrame, limit: int) -> dict[str, list[float]]:
-        items = frame.join(F.broadcast(sums), ["lang", "size"]).groupBy("size", "item").agg(F.max(F.col("n") / F.col("own")).alias("share"), F.collect_list(F.struct("lang", "n")).alias("by"))
-        out = {}
-        for r in items.orderBy(F.desc("share"), "item").limit(limit).toLocalIterator():
-            by = {x.lang: x.n for x in r.by}
-            own = [totals.get((lang, r.size), 0) for lang in langs]
-            usual = sum(by.get(lang, 0) / n for lang, n in zip(langs, own) if n) / len(langs)
-            out[r.item] = [math.log((by.get(lang, 0) + PRIOR * usual) / (n + PRIOR)) for lang, n in zip(langs, own)]
-        return out
-
-    return Model(langs, most(counts.where("size = 0"), max_words), most(counts.where("size > 0"), max_grams))
+    counts = written(counts, "language_counts")
+    table = counts.toArrow()  # as large as the sample allows
+    names, sizes = table["lang"].to_numpy(), table["size"].to_numpy()
+    langs = sorted(set(names.tolist()))
+    lang = np.searchsorted(np.array(langs, object), names) if langs else np.zeros(0, np.int64)
+    parts: list = []
+    for mine in (sizes == 0, sizes > 0):
+        coded = pc.dictionary_encode(table["item"].filter(pa.array(mine))).combine_chunks()
+        if not len(coded):
+            parts += [[], np.zeros((0, len(langs)), np.float32)]
+            continue
+        item, own_lang, own_size = coded.indices.to_numpy(), lang[mine], sizes[mine]
+        n = np.zeros((len(coded.dictionary), len(langs)))
+        n[item, own_lang] = table["n"].filter(pa.array(mine)).to_numpy()
+        totals = np.zeros((LONGEST_GRAM + 1, len(langs)))
+        np.add.at(totals, (own_size, own_lang), n[item, own_lang])
+        size_of = np.zeros(len(n), np.int64)
+        size_of[item] = own_size
+        own = totals[size_of]
+        usual = np.divide(n, own, out=np.zeros_like(n), where=own > 0).sum(axis=1, keepdims=True) / len(langs)
+        parts += [coded.dictionary.to_pylist(), np.log((n + PRIOR * usual) / (own + PRIOR)).astype(np.float32)]
+    return Model(langs, *parts)
 
 
 class Scorer:
@@ -112,20 +122,20 @@ class Scorer:
         self.reset()
 
     def reset(self) -> None:
-        k = len(self.model.langs)
+        """Rows: 0 for what has no letter, then the known words, then words met. Columns: languages, whether known, whether a word."""
+        k, known = len(self.model.langs), len(self.model.words)
         self.index = {w: i + 1 for i, w in enumerate(self.model.words)}
-        self.matrix = np.zeros((max(1024, 2 * len(self.index) + 2), k + 1))  # row 0: no letter; last column: is a word
-        if self.index:
-            self.matrix[1 : len(self.index) + 1, :k] = list(self.model.words.values())
-            self.matrix[1 : len(self.index) + 1, k] = 1
-        self.used = len(self.index) + 1
-
-    def backoff(self, word: str) -> list[float] | None:
-        grams = self.model.grams
+        self.matrix = np.zeros((max(1024, known + self.most_kept // 4), k + 2), np.float32)
+        self.matrix[1 : known + 1, :k] = self.model.word_rows
+        self.matrix[1 : known + 1, k:] = 1
+        self.used, self.known = known + 1, known
+        self.grams = {g: i for i, g in enumerate(self.model.grams)}
+
+    def backoff(self, word: str) -> np.ndarray | None:
         for size in range(min(LONGEST_GRAM, len(word) + 2), 0, -1):
-            known = [g for g in map(grams.get, grams_of(word, size)) if g]
+            known = [g for g in map(self.grams.get, grams_of(word, size)) if g is not None]
             if known:
-                return [sum(c) / len(known) for c in zip(*known)]
+                return self.model.gram_rows[known].mean(axis=0)
         return None
 
     def learn(self, words: set[str]) -> None:
@@ -133,26 +143,30 @@ class Scorer:
             self.matrix = np.r_[self.matrix, np.zeros_like(self.matrix)]
         for word in sorted(words):
             plain = letters(word)
-            row = (self.model.words.get(plain) or self.backoff(plain)) if plain else None
-            if plain:
-                self.matrix[self.used, -1] = 1
-                if row:
-                    self.matrix[self.used, :-1] = row
-                self.index[word] = self.used
-                self.used += 1
-            else:
+            if not plain:
                 self.index[word] = 0
-
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+                continue
+            at = self.index.get(plain, 0)
+            row = self.model.word_rows[at - 1] if 0 < at <= self.known else self.backoff(plain)
+            self.matrix[self.used, -1] = 1
+            if row is not None:
+                self.matrix[self.used, :-2] = row
+                self.matrix[self.used, -2] = 1
+            self.index[word] = self.used
+            self.used += 1
+
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[bool]]:
+        """Of each text the language, its score, and whether any word of it or n-gram is known."""
         split = [words_of(t) for t in texts]
         index = self.index
         self.learn({w for ws in split for w in ws if w not in index})
         k = len(self.model.langs)
-        preds, scores = [], []
+        preds, scores, known = [], [], []
         for ws in split:
             rows = np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))
-            total = self.matrix[rows].sum(axis=0)
-            n = total[k]
+            total = self.matrix[rows].sum(axis=0, dtype=np.float64)
+            n = total[-1]
+            known.append(bool(total[-2] > 0) and k > 0)
             if not n or not k:
                 preds.append(UNKNOWN)
                 scores.append(0.0)
@@ -162,9 +176,9 @@ class Scorer:
             best = int(np.argmax(p))
             preds.append(self.model.langs[best])
             scores.append(float(p[best] / p.sum()))
-        if self.used > self.most_kept:
+        if self.used - self.known > self.most_kept:
             self.reset()
-        return preds, scores
+        return preds, scores, known
 
 
 def language_id(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,7 +193,7 @@ def language_id(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(bound.value)
         for batch in slices(batches):
-            preds, scores = scorer.predict([t or "" for t in batch.column(1).to_pylist()])
+            preds, scores, _ = scorer.predict([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = keyed_text(docs, id_col, text_col)
@@ -187,13 +201,16 @@ def language_id(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def keep_with_language(docs: DataFrame, model: Model, least_score: float = 0.0, text_col: str = "text") -> DataFrame:
-    """The documents, all their columns, that have a language: neither `und` nor below least_score."""
+    """The documents, all their columns, that have a language: not `und`, with a word or n-gram that the model knows, and no score below least_score.
+
+    So null texts, texts without a letter and texts in scripts that the model never met go. Other columns may have any names.
+    """
     bound, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(bound.value)
         for batch in slices(batches):
-            preds, scores = scorer.predict([t or "" for t in batch.column(at).to_pylist()])
-            yield batch.filter(pa.array([p != UNKNOWN and s >= least_score for p, s in zip(preds, scores)]))
+            _, scores, known = scorer.predict([t or "" for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array([k and s >= least_score for k, s in zip(known, scores)]))
 
     return docs.mapInArrow(run, docs.schema)

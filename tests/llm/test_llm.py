@@ -412,7 +412,27 @@ def test_unknown_sizes_groups_and_voids():
     unknown = b"\x01" + b"\xff" * 7
     data = m.HEAD + m.SEGMENT.to_bytes(4, "big") + unknown + m.TRACK + m.CLUSTER.to_bytes(4, "big") + unknown + cluster + m.element(m.CLUSTER, m.number(m.TIMESTAMP, 200) + m.element(m.SIMPLE_BLOCK, m.block([b"three"], 1, -5, m.NO_LACING)))
     got = [(p.cluster, p.timestamp, data[p.offset : p.offset + p.size]) for p in m.demux(data).packets]
-    assert got == [(0, 107, b"one"), (0, 107, b"two"), (1, 195, b"three")]
+    ms = 192 * 1000 // 8000  # the track's default duration
+    assert got == [(0, 107, b"one"), (0, 107 + ms, b"two"), (1, 195, b"three")]
+
+
+def test_groups_laces_and_cues():
+    m = matroska
+    block = lambda *frames: m.element(m.BLOCK, m.block(list(frames), 1, 0, m.FIXED))
+    key_group = m.element(m.BLOCK_GROUP, block(b"aa", b"bb", b"cc"))
+    other = m.element(m.BLOCK_GROUP, m.element(m.REFERENCE_BLOCK, b"\xff") + block(b"dd", b"ee"))
+    bare = m.element(m.TRACKS, m.element(m.TRACK_ENTRY, m.number(m.TRACK_NUMBER, 1)))
+    lasting = m.element(m.BLOCK_GROUP, block(b"ff", b"gg") + m.number(m.BLOCK_DURATION, 40))
+    for track, groups, want in ((m.TRACK, key_group + other, [(0, True), (24, True), (48, True), (0, False), (24, False)]), (bare, lasting, [(0, True), (20, True)])):
+        data = m.HEAD + m.element(m.SEGMENT, track + m.element(m.CLUSTER, m.number(m.TIMESTAMP, 0) + groups))
+        assert [(p.timestamp, p.keyframe) for p in m.demux(data).packets] == want
+    frames = [bytes([k % 251]) * 192 for k in range(1000)]
+    found = m.demux(m.mux(frames))
+    assert [p.timestamp for p in found.packets] == [24 * k for k in range(1000)]
+    per_cluster = m.FRAMES_A_BLOCK * m.BLOCKS_A_CLUSTER
+    for k in (0, 1, 255, 256, 700, 999):
+        assert found.sought(24 * k, 1) == k // per_cluster * per_cluster
+    assert found.sought(-1, 1) == found.sought(5000, 2) == 0
 
 
 def test_media(spark, odd):
@@ -427,6 +447,18 @@ def test_media(spark, odd):
     media = spark.createDataFrame([(1, bytearray(matroska.stored(b"q" * 192 * 20))), (2, None), (3, bytearray(b"\x1a\x45junk"))], "doc_id long, media binary")
     packets = matroska.packet_table(media).collect()
     assert {r.doc_id for r in packets} == {1} and len(packets) == 20 and [r.timestamp for r in packets][8] == 192
+    assert [tuple(r) for r in matroska.track_table(media).collect()] == [(1, 1, 2, "A_PCM/INT/LIT", 8000.0, 1, 8, 24_000_000)]
+    data = matroska.stored(b"q" * 192 * 300)
+    cues = matroska.cue_table(media.select(F.col("doc_id"), F.lit(bytearray(data)).alias("media")).limit(1)).collect()
+    assert [(r.track, r.timestamp, r.first_packet) for r in cues] == [(1, 0, 0), (1, 256 * 24, 256)]
+    assert all(data[r.cluster_offset : r.cluster_offset + 4] == matroska.CLUSTER.to_bytes(4, "big") for r in cues)
+    for r, (_, t) in zip(key(matroska.media_features(df).collect()), key(rows)):
+        payload = matroska.padded(t)[1]
+        media_file = matroska.mux([payload[k : k + 192] for k in range(0, len(payload), 192)])
+        n = len(payload) // 192
+        assert (r.media_bytes, r.media_sha256) == (len(media_file), hashlib.sha256(media_file).hexdigest())
+        rising = sum(payload[k] < payload[k + 1] for k in range(0, len(payload) - 1, 64))
+        assert r.feature == f"A_PCM/INT/LIT;rate=8000;bits=8;packets={n};clusters={-(-n // 256)};cues={-(-n // 256)};ms={24 * n};last_ts={24 * (n - 1)};mean={sum(payload) / len(payload):.4f};peak={max(payload)};rising={rising}"
     assert matroska.media_features(df.limit(0)).count() == 0
 
 
@@ -447,6 +479,59 @@ def test_language_id(spark, docs, odd):
     assert {r.lang_pred for r in langid.language_id(df, empty).collect()} == {"und"}
 
 
+def brute_language(train, texts):
+    """The docstring's rule with plain dictionaries."""
+    langs = sorted({lang for _, lang in train})
+    counts = {}
+    for text, lang in train:
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            if plain := "".join(c for c in word if c.isalpha()):
+                for item in [(0, plain)] + [(n, f" {plain} "[i : i + n]) for n in range(2, 5) for i in range(len(plain) + 3 - n)] + [(1, c) for c in plain]:
+                    counts.setdefault(item, Counter())[lang] += 1
+    own = Counter()
+    for (n, _), by in counts.items():
+        for lang, k in by.items():
+            own[n, lang] += k
+
+    def logs(item):
+        by, n = counts[item], item[0]
+        usual = sum(by[lang] / own[n, lang] for lang in langs if own[n, lang]) / len(langs)
+        return [math.log((by[lang] + 1000 * usual) / (own[n, lang] + 1000)) for lang in langs]
+
+    out = []
+    for text in texts:
+        rows = []
+        for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            if not (plain := "".join(c for c in word if c.isalpha())):
+                continue
+            found = [(0, plain)] if (0, plain) in counts else []
+            for n in range(4, 0, -1):
+                if not found:
+                    grams = [(n, f" {plain} "[i : i + n]) for i in range(len(plain) + 3 - n)] if n > 1 else [(1, c) for c in plain]
+                    found = [g for g in grams if g in counts]
+            part = [logs(g) for g in found]
+            rows.append([sum(c) / len(part) for c in zip(*part)] if part else [0.0] * len(langs))
+        if not rows:
+            out.append(("und", 0.0))
+            continue
+        mean = [sum(c) / len(rows) * min(len(rows), 20) for c in zip(*rows)]
+        p = [math.exp(x - max(mean)) for x in mean]
+        out.append((langs[p.index(max(p))], max(p) / sum(p)))
+    return out
+
+
+def test_language_scores_by_another_way(spark, docs, odd):
+    train = [(r.text, r.lang) for r in docs.select("text", "lang", "doc_id").collect() if r.text and r.lang and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    texts = [r.text for r in docs.select("text").limit(60).collect()] + ["qzx", "日本語", "Schönes Haus xyzzyq", "été 12 abc"]
+    model = langid.fit(docs)
+    got = langid.language_id(frame(spark, list(enumerate(texts))), model).collect()
+    want = brute_language(train, texts)
+    assert [r.lang_pred for r in got] == [w[0] for w in want]
+    assert np.allclose([r.score for r in got], [w[1] for w in want], atol=1e-4)
+    kept = langid.keep_with_language(clashing(spark, [(1, "ここ"), (2, "the house"), (3, None), (4, "12")]), model)
+    assert [r.doc_id for r in kept.collect()] == [2]
+
+
 def test_a_language_of_few_words_wins_no_other_text(spark):
     r = random.Random(12)
     kinds = {"a": "abcde", "b": "fghij"}
