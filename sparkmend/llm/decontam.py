@@ -3,7 +3,8 @@
 A shard is an Arrow batch of whole documents. Its words become numbers; words that no test phrase has cannot be
 part of an occurrence, so only runs of phrase words long enough for a phrase are indexed, each ended by a
 sentinel. Suffixes are sorted by prefix doubling, ranks of the Burrows-Wheeler column come from a wavelet matrix, and positions from every SAMPLE-th suffix position by LF steps. All phrases of a block
-search backward together. Test sets beyond BLOCK_BYTES are dealt with in several blocks, one pass each.
+search backward together. Test sets beyond BLOCK_BYTES are dealt with in several blocks, one pass each: a block is read, sent
+out, searched for, and released when its pass is written, so neither driver nor executors hold more than one or two.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkmend.llm.columns import slices
+from sparkmend.llm.columns import fresh, slices
 from sparkmend.operators.shared import written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -207,9 +208,9 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col:
 
     Null and empty texts have no words and no hits. An item of fewer words than a window is one window; an item
     without words, or with a null id, is none. Repeated documents and items stay; repeated windows count once. An empty test
-    set hits nothing. Names of new columns take `prefix`, should the documents have such columns themselves.
+    set hits nothing. Names of new columns take `prefix`, and underscores before it should the documents have such columns themselves.
     """
-    names = [f"{prefix}n_words", f"{prefix}hits", f"{prefix}items"]
+    names = fresh(docs, f"{prefix}n_words", f"{prefix}hits", f"{prefix}items")
     kinds = [pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())])), pa.list_(pa.string())]
     context, width, at = docs.sparkSession.sparkContext, len(docs.columns), docs.columns.index(text_col)
 
@@ -227,10 +228,15 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col:
 
         return run
 
-    out = docs
+    out, bound = docs, None
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(names, STATE))])
-    for k, block in enumerate(blocks(benchmark, item_col, item_text_col)):
-        out = out.mapInArrow(passed(context.broadcast(block), k > 0), schema)
+    for block in blocks(benchmark, item_col, item_text_col):
+        later = bound is not None
+        if later:
+            out = written(out, "hits")
+            bound.destroy()
+        bound = context.broadcast(block)
+        out = out.mapInArrow(passed(bound, later), schema)
     return out
 
 
@@ -253,11 +259,12 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def remove_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text") -> DataFrame:
+def remove_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents, same columns, without the passages that with_hits finds; clean texts stay as they are.
 
     Items with a null id are cut like any other. A cut can bring words together that again form a test phrase, so a changed
     text is searched until it is clean. With several blocks of test items their passes are repeated until no text gets shorter.
+    Null texts stay null, repeated rows stay, other columns may have any names; without items or documents nothing changes.
     """
     context, at = docs.sparkSession.sparkContext, docs.columns.index(text_col)
 
@@ -281,17 +288,19 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_co
 
         return run
 
-    bounds = [context.broadcast(block) for block in blocks(benchmark, "item_id", "text", nameless=True)]
-
-    def once(out: DataFrame) -> DataFrame:
-        for bound in bounds:
+    size, before, out, many = F.sum(F.length(text_col)), None, docs, False
+    while True:
+        bound = None
+        for block in blocks(benchmark, item_col, item_text_col, nameless=True):
+            if bound is not None:
+                out, many = written(out, "cut"), True
+                bound.destroy()
+            bound = context.broadcast(block)
             out = out.mapInArrow(passed(bound), docs.schema)
-        return out
-
-    if len(bounds) == 1:
-        return once(docs)
-    size, before, out = F.sum(F.length(text_col)), None, docs
-    while (now := out.agg(size).first()[0]) != before:
-        before, out = now, written(once(out), "cut")
-    return out
-
+        if not many:
+            return out
+        out = written(out, "cut")
+        bound.destroy()
+        if (now := out.agg(size).first()[0]) == before:
+            return out
+        before = now

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sparkmend.llm.columns import keyed_text, slices
+from sparkmend.llm.columns import fresh, keyed_text, slices
 
 CHUNK = re.compile(r" *[^ ]+| +")
 MARK = "▁"
@@ -261,7 +261,8 @@ def sampled_digests(docs: DataFrame, model_path: str, theta: float = 1.0, seed:
 
 
 def with_pieces(docs: DataFrame, model_path: str, theta: float = 1.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", name: str = "piece_ids") -> DataFrame:
-    """The documents, all their columns, and their sampled ids; edge cases as in sampled_digests."""
+    """The documents, all their columns, and their sampled ids, in a column `name` (behind as many underscores as it takes to be new); edge cases as in sampled_digests."""
+    name = fresh(docs, name)[0]
     at, key = docs.columns.index(text_col), docs.columns.index(id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,11 @@ one of 16 keys of 28 bits. Pairs below a key must pass the rest of the chain bef
 Only distinct fingerprints are joined. A key of many fingerprints is not paired: its fingerprints are dealt again
 below keys that also hold three of the six 6-bit pieces of the other bits; with 46 bits held, a group has at most
 2**18 fingerprints, looked up in a table, and gives a spanning star for each of its classes instead of pairs.
+
+To keep one document of each near-duplicate group, fingerprints of three-word shingles are too coarse: a text that shares four
+fifths of its five-word shingles with another differs from it in some ten bits. So texts are joined below TABLES fingerprints
+of their single words, by the same chains, and a link must also hold between the fingerprints of their five-word shingles,
+within NEAR_BITS bits: about what a similarity of 0.8 leaves (9.7 bits are expected there, 32 for unrelated texts).
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkmend.llm.columns import keyed_text, slices
+from sparkmend.llm.columns import fresh, keyed_text, slices
 from sparkmend.operators.components import connected_components
 from sparkmend.operators.shared import written
 
@@ -31,25 +36,33 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 SEGMENTS, WIDTH, BUDGET = 4, 16, 3
 CROWDED = 32  # fingerprints below a key; more are dealt again
+TABLES, NEAR_BITS, SHINGLE = 4, 16, 5
+
+
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall(text.translate(LOWER)) if text else []
+
+
+def shingles(words: list[str], size: int) -> list[str]:
+    if len(words) > size:
+        return [" ".join(s) for s in zip(*(words[i:] for i in range(size)))]
+    return [" ".join(words)] if words else []
 
 
 def fingerprints(texts: list[str | None], size: int = 3, seed: int = 42) -> np.ndarray:
     """Signed 64-bit fingerprints: a bit is set if more than half of the shingles' hashes have it."""
-    hash_of, hashes, counts = xxhash.xxh64_intdigest, [], []
-    for text in texts:
-        words = WORD.findall(text.translate(LOWER)) if text else []
-        if len(words) > size:
-            rows = [hash_of(" ".join(s), seed) for s in zip(*(words[i:] for i in range(size)))]
-        else:
-            rows = [hash_of(" ".join(words), seed)] if words else []
-        hashes += rows
-        counts.append(len(rows))
-    out = np.zeros(len(texts), np.uint64)
-    n = np.array(counts, np.int64)
+    hash_of = xxhash.xxh64_intdigest
+    rows = [[hash_of(s, seed) for s in shingles(words_of(text), size)] for text in texts]
+    return majority_bits(np.array([h for r in rows for h in r], "<u8"), np.fromiter(map(len, rows), np.int64, len(rows)))
+
+
+def majority_bits(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each text's hashes, n of them, the bits that more than half have; none without hashes."""
+    out = np.zeros(len(n), np.uint64)
     full = np.flatnonzero(n)
     if len(full):
         # bytes in little-endian order, bits from the lowest
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         starts = (np.cumsum(n) - n)[full]
         sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
         set_ = (2 * sums > n[full][:, None]).astype(np.uint8)
@@ -57,6 +70,24 @@ def fingerprints(texts: list[str | None], size: int = 3, seed: int = 42) -> np.n
     return out.view(np.int64)
 
 
+def near_fingerprints(texts: list[str | None], tables: int, shingle: int, seed: int = 42) -> list[np.ndarray]:
+    """For each text `tables` fingerprints of its words, and that of its shingles; a word's hashes beyond the first are the first one's, mixed."""
+    hash_of, met, words, parts = xxhash.xxh64_intdigest, {}, [], []
+    for text in texts:
+        mine = words_of(text)
+        for w in mine:
+            if w not in met:
+                met[w] = hash_of(w, seed)
+        words.append([met[w] for w in mine])
+        parts.append([hash_of(s, seed) for s in shingles(mine, shingle)])
+    n, hashes = np.fromiter(map(len, words), np.int64, len(words)), np.array([h for r in words for h in r], "<u8")
+    out = []
+    for k in range(tables):
+        x = (hashes ^ hashes >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15 + 2 * k) if k else hashes
+        out.append(majority_bits(x ^ x >> np.uint64(32) if k else x, n))
+    return [*out, majority_bits(np.array([h for r in parts for h in r], "<u8"), np.fromiter(map(len, parts), np.int64, len(parts)))]
+
+
 def with_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fp") -> DataFrame:
     """The documents, all their columns, and the fingerprint as a long."""
     at = docs.columns.index(text_col)
@@ -96,11 +127,12 @@ def chain_holds(a: Column, b: Column) -> Column:
     return held
 
 
-def sparse_links(keyed: DataFrame) -> DataFrame:
-    """Links below keys of at most CROWDED fingerprints."""
-    groups = keyed.groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-    pairs = groups.select(F.explode("fps").alias("src"), "fps").select("src", F.explode(F.filter("fps", lambda x: (x > F.col("src")) & chain_holds(x, F.col("src")) & (F.bit_count(x.bitwiseXOR(F.col("src"))) <= BUDGET))).alias("dst"))
-    return pairs
+def sparse_links(keyed: DataFrame, near_bits: int) -> DataFrame:
+    """Links below keys of at most CROWDED members."""
+    groups = keyed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "fp", "own"))).alias("all"))
+    mine = F.col("one")
+    near = F.filter("all", lambda x: (x["node"] > mine["node"]) & chain_holds(x["fp"], mine["fp"]) & (F.bit_count(x["fp"].bitwiseXOR(mine["fp"])) <= BUDGET) & (F.bit_count(x["own"].bitwiseXOR(mine["own"])) <= near_bits))
+    return groups.select(F.explode("all").alias("one"), "all").select(mine["node"].alias("src"), F.explode(F.transform(near, lambda x: x["node"])).alias("dst"))
 
 
 def free_bits(table: int) -> list[int]:
@@ -110,8 +142,8 @@ def free_bits(table: int) -> list[int]:
     return [*range(nibble, nibble + 4), *(WIDTH * ((i + k) % SEGMENTS) + b for k in (2, 3) for b in range(WIDTH))]
 
 
-def crowded_links(keyed: DataFrame) -> DataFrame:
-    """Stars of the classes below keys of more fingerprints."""
+def crowded_links(keyed: DataFrame, near_bits: int) -> DataFrame:
+    """Stars of the classes below keys of more members."""
     threes = list(combinations(range(6), 3))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,36 +154,41 @@ def crowded_links(keyed: DataFrame) -> DataFrame:
                 held = sum(1 << b for p in three for b in free[6 * p : 6 * p + 6])
                 masks[table, t] = held
         for batch in slices(batches, 1 << 20):
-            key, fp = (batch.column(i).to_numpy() for i in range(2))
-            kept = masks[key >> 32] & fp.view(np.uint64)[:, None]
+            key, fp, own, node = (batch.column(i).to_numpy() for i in range(4))
+            kept = masks[key >> 32 & 15] & fp.view(np.uint64)[:, None]
             t = np.broadcast_to(np.arange(len(threes), dtype=np.int64), kept.shape).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, len(threes))), pa.array(t), pa.array(kept.ravel().view(np.int64)), pa.array(np.repeat(fp, len(threes)))], names=["key", "three", "held", "fp"])
+            columns = [np.repeat(key, len(threes)), t, kept.ravel().view(np.int64), *(np.repeat(x, len(threes)) for x in (fp, own, node))]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["key", "three", "held", "fp", "own", "node"])
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, three, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                fps = np.array(group.values.to_numpy(), np.int64)
-                free = free_bits(key >> 32)
+                fps, own, nodes = (np.array(group.values.field(k).to_numpy(), np.int64) for k in range(3))
+                free = free_bits(key >> 32 & 15)
                 open_ = [b for p in range(6) if p not in threes[three] for b in free[6 * p : 6 * p + 6]]
-                root = classes(fps, open_)
-                mine = root != fps
-                yield pa.RecordBatch.from_arrays([pa.array(fps[mine]), pa.array(root[mine])], names=["src", "dst"])
+                root = classes(fps, open_, own, nodes, near_bits)
+                mine = root != nodes
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[mine]), pa.array(root[mine])], names=["src", "dst"])
+
+    dealt = keyed.mapInArrow(deal, "key long, three long, held long, fp long, own long, node long")
+    groups = dealt.groupBy("key", "three", "held").agg(F.collect_list(F.struct("fp", "own", "node")).alias("all")).where(F.size("all") > 1)
+    return groups.select("key", "three", "all").mapInArrow(star, "src long, dst long").distinct()
 
-    dealt = keyed.mapInArrow(deal, "key long, three long, held long, fp long")
-    groups = dealt.groupBy("key", "three", "held").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    return groups.select("key", "three", "fps").mapInArrow(star, "src long, dst long").distinct()
 
+def classes(fps: np.ndarray, open_: list[int], own: np.ndarray | None = None, nodes: np.ndarray | None = None, near_bits: int = 64) -> np.ndarray:
+    """The least node (by default: fingerprint) of each one's class, where fingerprints differ in 18 open bits only.
 
-def classes(fps: np.ndarray, open_: list[int]) -> np.ndarray:
-    """The least fingerprint of each one's class, where fingerprints differ in 18 open bits only."""
-    bare = fps.view(np.uint64)
+    Among more than 256 members, of those that have one fingerprint the least node stands for the others towards other fingerprints.
+    """
+    nodes, own = fps if nodes is None else nodes, np.zeros(len(fps), np.int64) if own is None else own
+    order = np.argsort(nodes)
+    bare, second = fps[order].view(np.uint64), own[order].view(np.uint64)
     code = np.zeros(len(fps), np.int64)
     for k, b in enumerate(open_):
         code |= ((bare >> np.uint64(b)) & np.uint64(1)).astype(np.int64) << k
-    steps = [0, *(sum(1 << b for b in c) for r in (1, 2, 3) for c in combinations(range(len(open_)), r))]
+    label = np.arange(len(fps))  # by order of nodes
     if len(fps) <= 256:  # the table would cost more
-        near = np.bitwise_count(code[:, None] ^ code) <= BUDGET
-        label = np.arange(len(fps))
+        near = (np.bitwise_count(code[:, None] ^ code) <= BUDGET) & (np.bitwise_count(second[:, None] ^ second) <= near_bits)
         while True:
             new = np.where(near, label, len(fps)).min(axis=1)
             if (new == label).all():
@@ -159,28 +196,39 @@ def classes(fps: np.ndarray, open_: list[int]) -> np.ndarray:
             label = new
     else:
         table = np.full(1 << len(open_), -1, np.int64)
-        table[code] = np.arange(len(fps))
-        label = np.arange(len(fps))
+        table[code[::-1]] = np.arange(len(fps))[::-1]  # the least comes last
+        steps = [0, *(sum(1 << b for b in c) for r in (1, 2, 3) for c in combinations(range(len(open_)), r))]
         while True:
             before = label.copy()
-            for step in steps[1:]:
+            for step in steps:
                 other = table[code ^ step]
-                label = np.where(other >= 0, np.minimum(label, label[other]), label)
+                there = (other >= 0) & (np.bitwise_count(second ^ second[other]) <= near_bits)
+                label = np.where(there, np.minimum(label, label[other]), label)
+                np.minimum.at(label, other[there], label[there])
             label = label[label]
             if (label == before).all():
                 break
-    least = np.full(len(fps), np.iinfo(np.int64).max)
-    np.minimum.at(least, label, fps)
-    return least[label]
+    out = np.empty(len(fps), np.int64)
+    out[order] = nodes[order][label]
+    return out
 
 
-def near_classes(fps: DataFrame) -> DataFrame:
-    """node, component for the distinct fingerprints in column fp that have a link to another."""
-    keyed = fps.select(F.explode(chain_keys(F.col("fp"))).alias("key"), "fp")
+def near_classes(rows: DataFrame, tables: list[str], near_bits: int = 64) -> DataFrame:
+    """node, component for the nodes that have a link to another.
+
+    Two nodes are linked if their fingerprints in one column of `tables` differ in BUDGET bits at most, and those in `own` in
+    near_bits. Nodes with equal fingerprints are linked too, so give equal rows one node.
+    """
+
+    def keys(number: int, name: str) -> Column:
+        return F.transform(chain_keys(F.col(name)), lambda k: F.struct((k + F.lit(number << 36)).alias("key"), F.col(name).alias("fp")))
+
+    each = F.concat(*(keys(n, t) for n, t in enumerate(tables)))
+    keyed = rows.select(F.explode(each).alias("x"), "own", "node").select("x.key", "x.fp", "own", "node")
     many = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "chain_keys")
     shared = keyed.join(many, "key")
-    sparse = sparse_links(shared.where(F.col("n") <= CROWDED).select("key", "fp"))
-    crowded = crowded_links(shared.where(F.col("n") > CROWDED).select("key", "fp"))
+    sparse = sparse_links(shared.where(F.col("n") <= CROWDED).select("key", "fp", "own", "node"), near_bits)
+    crowded = crowded_links(shared.where(F.col("n") > CROWDED).select("key", "fp", "own", "node"), near_bits)
     return connected_components(sparse.union(crowded))
 
 
@@ -199,17 +247,39 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def component_ids(rows: DataFrame, pick: Column) -> DataFrame:
     """fp, picked: for every fingerprint of the rows what `pick` gives over its whole component."""
     fps = written(rows.groupBy("fp").agg(pick.alias("picked")), "distinct_fingerprints")
-    nodes = near_classes(fps.select("fp"))
+    nodes = near_classes(fps.select("fp", F.lit(0).cast("long").alias("own"), F.col("fp").alias("node")), ["fp"])
     placed = written(fps.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "picked"), "placed")
     least = written(placed.groupBy("component").agg(F.min("picked").alias("picked")), "picked")
     return written(placed.select("fp", "component").join(least, "component").select("fp", "picked"), "component_ids")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, same columns, one of each component: that of the least id (null ids last), of equal rows any one."""
-    rows = written(with_fingerprint(docs, text_col, "__fp").withColumn("__row", F.monotonically_increasing_id()), "fingerprinted")
-    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("__row"))
-    keys = rows.select(F.col("__fp").alias("fp"), order.alias("o"))
-    chosen = written(component_ids(keys, F.min("o")).select(F.col("picked.__row").alias("__row")).distinct(), "chosen")
+def with_near_fingerprints(docs: DataFrame, text_col: str, names: list[str], shingle: int) -> DataFrame:
+    """The documents, all their columns, and near_fingerprints under the names given, the shingles' last."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1 << 20):
+            found = near_fingerprints(batch.column(at).to_pylist(), len(names) - 1, shingle)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found)], names=[*batch.schema.names, *names])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)]))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = TABLES, near_bits: int = NEAR_BITS, shingle: int = SHINGLE) -> DataFrame:
+    """The documents, same columns, one of each near-duplicate group: that of the least id (null ids last), of equal rows any one.
+
+    Two texts are linked if one of `tables` fingerprints of their words differs in BUDGET bits at most and that of their shingles
+    in near_bits; a group is what links reach. Null texts and texts without words have zero fingerprints and are one group; texts of fewer
+    words than a shingle are one shingle. Other columns may have any names. An empty table stays empty.
+    """
+    row, own, *names = fresh(docs, "row", "own", *(f"fp{k}" for k in range(tables)))
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(row))
+    rows = written(with_near_fingerprints(docs, text_col, [*names, own], shingle).withColumn(row, F.monotonically_increasing_id()), "fingerprinted")
+    plain = [f"f{k}" for k in range(tables)]
+    keys = rows.select(*(F.col(n).alias(p) for n, p in zip(names, plain)), F.col(own).alias("own"), order.alias("o"))
+    texts = written(keys.groupBy(*plain, "own").agg(F.min("o").alias("o")).withColumn("node", F.col("o")[row]), "distinct_texts")
+    nodes = near_classes(texts, plain, near_bits)
+    placed = texts.select("node", "o").join(nodes, "node", "left").select(F.coalesce("component", "node").alias("component"), "o")
+    chosen = written(placed.groupBy("component").agg(F.min("o").alias("o")).select(F.col("o")[row].alias(row)), "chosen")
     # by sorting at every size: a broadcast that only small inputs allow would hide what the join costs
-    return rows.join(chosen.hint("merge"), "__row", "left_semi").select(*docs.columns)
+    return rows.join(chosen.hint("merge"), row, "left_semi").select(*docs.columns)

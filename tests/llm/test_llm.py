@@ -154,8 +154,8 @@ def test_crowded_keys_lose_no_link(spark, monkeypatch):
     centres = [r.getrandbits(64) for _ in range(3)]
     fps = sorted({c ^ sum(1 << b for b in r.sample(range(64), r.randrange(5))) for c in centres for _ in range(120)})
     monkeypatch.setattr(simhash, "CROWDED", 2)
-    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    got = {x.node: x.component for x in simhash.near_classes(df).collect()}
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long").select("fp", F.lit(0).cast("long").alias("own"), F.col("fp").alias("node"))
+    got = {x.node: x.component for x in simhash.near_classes(df, ["fp"]).collect()}
     rows = [(f - (1 << 64) if f >> 63 else f, "") for f in fps]
     want = dict(zip([i for i, _ in rows], brute_components(rows, fps)))
     assert {i: got.get(i, i) for i in want} == want
@@ -175,12 +175,58 @@ def test_classes_of_large_groups_are_those_of_small_ones():
     assert large.tolist() == [int(fps[x]) for x in label]
 
 
-def test_one_document_of_each_stays(spark, odd):
-    df, rows = odd
+def brute_near(texts):
+    """The component of each text, all pairs of fingerprints compared."""
+    *tables, own = (x.view(np.uint64) for x in simhash.near_fingerprints(texts, simhash.TABLES, simhash.SHINGLE))
+    near = np.zeros((len(texts), len(texts)), bool)
+    for fp in tables:
+        near |= np.bitwise_count(fp[:, None] ^ fp) <= simhash.BUDGET
+    near &= np.bitwise_count(own[:, None] ^ own) <= simhash.NEAR_BITS
+    label = np.arange(len(texts))
+    while True:
+        new = np.where(near, label, len(texts)).min(axis=1)
+        if (new == label).all():
+            return label.tolist()
+        label = new
+
+
+@pytest.mark.parametrize("crowded", [32, 2])
+def test_one_document_of_each_stays(spark, odd, docs, monkeypatch, crowded):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    r = random.Random(3)
+    base = [r.choice(["ab", "cd", "efg", "hi", "jkl", "m"]) + str(r.randrange(60)) for _ in range(120)]
+    near = []
+    for k in range(60):
+        words = base[:]
+        for at in r.sample(range(120), 1 + k % 3):
+            words[at] = f"new{k}"
+        near.append((1000 + k, " ".join(words)))
+    rows = sorted(odd[1] + near, key=lambda x: (x[0] is None, x[0] or 0))
+    df = clashing(spark, rows)
     kept = simhash.keep_one_of_each(df)
     assert kept.columns == df.columns
-    ids = simhash.simhash_components(df).groupBy("component_id").count().count()
-    assert kept.count() == ids
+    label = brute_near([t for _, t in rows])
+    assert key(x.doc_id for x in kept.collect()) == key(rows[k][0] for k in sorted(set(label)))
+    assert simhash.keep_one_of_each(df.limit(0)).count() == 0
+
+
+def test_near_copies_and_others(spark):
+    """Copies whose five-word shingles are 0.8 alike go, texts of the same vocabulary stay."""
+    r = random.Random(7)
+    vocabulary = [f"w{k}" for k in range(400)]
+    weights = [1 / (k + 3) for k in range(400)]
+    rows = [(i, r.choices(vocabulary, weights, k=r.randrange(60, 300))) for i in range(300)]
+    copies = []
+    for i, words in rows[:150]:
+        words, n = words[:], len(words)
+        for at in r.sample(range(n), max(1, n // 50)):
+            words[at] = "changed"
+        copies.append((1000 + i, words))
+    alike = lambda a, b: len(x & y) / len(x | y) if (x := {*zip(*(a[k:] for k in range(5)))}) and (y := {*zip(*(b[k:] for k in range(5)))}) else 0
+    near = {1000 + i for (i, a), (_, b) in zip(rows, copies) if alike(a, b) >= 0.8}
+    kept = {x.doc_id for x in simhash.keep_one_of_each(frame(spark, [(i, " ".join(w)) for i, w in rows + copies])).collect()}
+    assert {i for i, _ in rows} <= kept
+    assert len(near) > 100 and len(near - kept) >= 0.9 * len(near)
 
 
 # 4
@@ -199,6 +245,7 @@ def test_pieces(spark, odd):
     for r in ids.collect():
         if r.text and "▁" not in r.text and "\x00" not in r.text:
             assert model.decode(r.piece_ids) == r.text
+    assert piece_sampling.with_pieces(clashing(spark, rows[:3]), PIECES).columns[-1] == "__piece_ids"
     back = piece_sampling.decoded_texts(ids.select("doc_id", "piece_ids"), PIECES)
     assert key(tuple(r) for r in back.collect()) == key((i, t or "") for i, t in rows)
     again = piece_sampling.sampled_digests(df.repartition(7), PIECES).collect()
@@ -605,6 +652,8 @@ def test_decontamination(spark, odd, monkeypatch, block):
     df = frame(spark, rows)
     got = [tuple(x) for x in decontam.decontamination(df, bench).collect()]
     assert key(got) == key(brute_hits(rows, [x for x in items if x[0] is not None]))
+    assert decontam.with_hits(clashing(spark, rows[:3]), bench).columns[-3:] == ["_n_words", "_hits", "_items"]
+    df = clashing(spark, rows)
     clean = decontam.remove_hits(df, bench)
     assert clean.columns == df.columns and not decontam.decontamination(clean, bench).where("contaminated").count()
     same = {h[0] for h in got if not h[5]}
