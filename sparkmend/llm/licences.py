@@ -1,13 +1,16 @@
 """Licence scans by a trained paragraph classifier, in DataFrame functions only.
 
 Sparse multinomial logistic regression over the words and word pairs that occur in a paragraph tells licence families from
-the class `unknown`. It is fitted on the driver, on the templates below and a bounded sample of the corpus's own paragraphs, by
-proximal gradient steps whose L1 penalty leaves few weights. The least probability of a licence is calibrated on a held-out
-half of that sample. A prediction stands only if the paragraph also holds most word pairs of a template of its family.
+the class `unknown`. It is fitted on the driver: on sentences that name a family's licences in the ways of GRANTS, on the notices of
+PASSAGES, and, as unknown, on sentences that only mention licences and on a bounded sample of the corpus's own paragraphs. Proximal
+gradient steps with an L1 penalty leave few weights; a temperature then calibrates the probabilities on sentences and
+paragraphs held out of the fit. A prediction stands if a licence is likelier than unknown and a template of the
+predicted family confirms it: the paragraph holds most of the template's word pairs.
 
-Only a paragraph that holds a word with weight for some licence can be told from `unknown`; those words become a pattern
-that filters the texts, so nothing else is split into words. Weights and template pairs are one small table, bounded by the
-templates and by sample_rows, that is broadcast.
+A paragraph is a run of lines: a line that doesn't end a sentence goes on in the next line, so wrapped notices stay whole.
+A paragraph that a template can confirm holds one of a few words, which become a pattern
+that filters the texts, so little else is split into words. Weights and template pairs are one small table, bounded by the
+templates and the sample, that is broadcast.
 """
 
 from __future__ import annotations
@@ -16,54 +19,78 @@ import math
 import re
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmend.llm.columns import keyed_text
 
 UNKNOWN = "unknown"
-# Notices by family, as their licences word them.
-TEMPLATES = (
-    ("mit", "Released under the MIT License."),
-    ("mit", "Licensed under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("gpl-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
-    ("lgpl", "This library is licensed under the GNU Lesser General Public License."),
-    ("agpl", "This program is licensed under the GNU Affero General Public License."),
-    ("bsd", "Released under the BSD License."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("epl", "made available under the terms of the Eclipse Public License"),
-    ("unlicense", "This is free and unencumbered software released into the public domain."),
-    ("cc0", "Released under CC0 1.0 Universal public domain dedication."),
-    ("cc-by", "Licensed under CC BY 4.0."),
-    ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
-    ("cc-by-sa", "licensed under a Creative Commons Attribution ShareAlike License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-nc", "licensed under a Creative Commons Attribution NonCommercial License"),
-    ("proprietary", "All rights reserved. Unauthorized copying of this file is strictly prohibited."),
+# What licences are called, by family; the first is the identifier of the SPDX list.
+NAMES = {
+    "agpl-3.0": ("AGPL-3.0", "GNU Affero General Public License", "GNU Affero General Public License, version 3", "GNU AGPL v3", "AGPLv3"),
+    "apache-2.0": ("Apache-2.0", "Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache Software License"),
+    "artistic-2.0": ("Artistic-2.0", "Artistic License 2.0", "Artistic License"),
+    "bsd-2-clause": ("BSD-2-Clause", "BSD 2-Clause License", "Simplified BSD License", "FreeBSD License"),
+    "bsd-3-clause": ("BSD-3-Clause", "BSD 3-Clause License", "New BSD License", "Modified BSD License", "BSD License"),
+    "bsl-1.0": ("BSL-1.0", "Boost Software License, Version 1.0", "Boost Software License"),
+    "cc-by": ("CC-BY-4.0", "CC BY 4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution License"),
+    "cc-by-nc": ("CC-BY-NC-4.0", "CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution NonCommercial License"),
+    "cc-by-nc-sa": ("CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    "cc-by-nd": ("CC-BY-ND-4.0", "CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    "cc-by-sa": ("CC-BY-SA-4.0", "CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution ShareAlike License"),
+    "cc0": ("CC0-1.0", "CC0 1.0 Universal", "CC0 1.0 Universal Public Domain Dedication", "CC0 license"),
+    "epl": ("EPL-2.0", "Eclipse Public License", "Eclipse Public License 2.0", "Eclipse Public License v2.0"),
+    "gpl-2.0": ("GPL-2.0", "GNU General Public License, version 2", "GNU General Public License v2", "GNU GPL v2", "GPLv2"),
+    "gpl-3.0": ("GPL-3.0", "GNU General Public License, version 3", "GNU General Public License v3", "GNU GPL v3", "GPLv3"),
+    "isc": ("ISC", "ISC License", "Internet Systems Consortium License"),
+    "lgpl": ("LGPL-3.0", "GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "GNU LGPL", "LGPLv3", "LGPL-2.1"),
+    "mit": ("MIT", "MIT License", "Expat License", "MIT Licence"),
+    "mpl-2.0": ("MPL-2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0"),
+    "ofl-1.1": ("OFL-1.1", "SIL Open Font License, Version 1.1", "SIL Open Font License"),
+    "unlicense": ("Unlicense", "Unlicense License"),
+    "wtfpl": ("WTFPL", "Do What The Fuck You Want To Public License"),
+    "zlib": ("Zlib", "zlib License", "zlib/libpng License"),
+    "proprietary": ("LicenseRef-Proprietary",),
+}
+# Passages of the licences' own texts and notices.
+PASSAGES = (
+    ("agpl-3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("apache-2.0", "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
+    ("bsd-2-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-2-clause", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("bsl-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License"),
+    ("gpl-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("gpl-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
+    ("mit", "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement"),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("ofl-1.1", "This Font Software is licensed under the SIL Open Font License"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("proprietary", "All rights reserved"),
+    ("proprietary", "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential"),
+)
+# How a licence is granted, and how it is only mentioned. Each third sentence is held out of the fit, to calibrate.
+GRANTS = (
+    "Released under the {}.", "Licensed under the {}.", "This work is licensed under the {}.", "Licensed under {}.", "Distributed under the terms of the {}.", "It is available under the {}.",
+    "This project is licensed under the terms of the {}.", "Released under {}.", "This library is free software under the {}.", "The code may be used under the {}.", "Made available under the {}.", "License: {}",
+    "This project uses the {}.", "Published under the {} by its authors.", "Use of this file is governed by the {}.",
+)
+MENTIONS = (
+    "An article about the {}.", "He compared the {} with others in his talk.", "The {} was written by lawyers.", "Is the {} a good choice?", "History of the {}", "She doesn't like the {}, as everybody knows.",
 )
-# Sentences that name licences or their words without granting one; they train the unknown class.
 LOOKALIKES = (
-    "He lost his driving license in May.",
-    "The license plate was found under the bridge.",
-    "A professor at MIT released a paper under her own name.",
-    "The Apache helicopter was hit under fire.",
-    "The general public may use this door.",
-    "This work is for the public and for general use.",
-    "The software was released in version 3 under a new name.",
-    "You may obtain a copy of the paper at the library.",
-    "The conditions are met with or without your permission.",
-    "See the license for details.",
-    "The GNU project is old.",
-    "The following version of this work is under review.",
+    "He lost his driving license in May.", "The license plate was found under the bridge.", "A professor at MIT released a paper under her own name.", "The Apache helicopter was hit under fire.",
+    "The general public may use this door.", "This work is for the public and for general use.", "The software was released in version 3 under a new name.", "You may obtain a copy of the paper at the library.",
+    "The conditions are met with or without your permission.", "See the license for details.", "The GNU project is old.", "The following version of this work is under review.",
+    "Under the law she reserved a table for all.", "The rights of the public are reserved for members.", "The file was released under pressure.", "A boost for software makers came from the new public fund.",
 )
 
 
@@ -71,111 +98,140 @@ class Licences(NamedTuple):
     families: list[str]
     bias: list[float]  # unknown's is the last
     weights: dict[str, list[float]]  # by word or pair; unknown's are the last
-    least: float
     triggers: list[str]
+    least_cover: float
 
 
 def words_of(paragraph: str) -> list[str]:
     return [w for w in re.split("[^a-z0-9]+", paragraph.lower()) if w]
 
 
+def pairs_of(words: list[str]) -> set[str]:
+    return {f"{a} {b}" for a, b in zip(words, words[1:])}
+
+
 def features_of(paragraph: str) -> list[str]:
     words = words_of(paragraph)
-    return sorted({*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))})
+    return sorted({*words} | pairs_of(words))
+
 
+def templates() -> list[tuple[str, frozenset[str]]]:
+    """Family and word pairs of each text that can confirm it."""
+    out = []
+    for family, (spdx, *names) in NAMES.items():
+        texts = [f"SPDX-License-Identifier: {spdx}", *(f"{before} {name}" for name in (spdx, *names) if len(names) for before in ("under", "under the", "license"))]
+        out += [(family, frozenset(pairs_of(words_of(t)))) for t in texts]
+    return out + [(family, frozenset(pairs_of(words_of(t)))) for family, t in PASSAGES]
 
-def softmax(scores: list[float]) -> list[float]:
-    top = max(scores)
-    parts = [math.exp(s - top) for s in scores]
-    return [p / sum(parts) for p in parts]
 
+def sentences(held_out: bool) -> list[tuple[str, str]]:
+    """Family and text of what the model learns from, or of what calibrates it."""
+    out = []
+    for family, (spdx, *names) in NAMES.items():
+        every = [g.format(n) for n in (*names, spdx) if names for g in GRANTS]
+        out += [(family, t) for k, t in enumerate(every) if (k % 3 == 2) == held_out]
+        out += [(UNKNOWN, m.format(n)) for k, n in enumerate(names) for j, m in enumerate(MENTIONS) if ((j + k) % 3 == 2) == held_out]
+        out.append((family, f"SPDX-License-Identifier: {spdx}"))
+    out += [(UNKNOWN, t) for k, t in enumerate(LOOKALIKES) if (k % 3 == 2) == held_out]
+    return out + ([] if held_out else list(PASSAGES))
 
-def train(rows: list[tuple[list[str], int]], classes: int, rounds: int = 30, rate: float = 0.8, penalty: float = 0.03, least_spread: float = 0.3) -> tuple[list[float], dict[str, list[float]]]:
-    """Multinomial logistic regression by stochastic proximal gradient; rows in the order given, so runs are alike."""
-    weights: dict[str, list[float]] = {}
-    bias = [0.0] * classes
+
+def softmax(scores: np.ndarray) -> np.ndarray:
+    parts = np.exp(scores - scores.max())
+    return parts / parts.sum()
+
+
+def train(rows: list[tuple[np.ndarray, int]], features: int, classes: int, rounds: int = 16, rate: float = 0.8, penalty: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+    """Bias and weights by stochastic proximal gradient; rows in the order given, so runs are alike."""
+    weights, bias = np.zeros((features, classes)), np.zeros(classes)
     bias[-1] = 1.0
     for t in range(rounds):
-        step = rate / (1 + t / 10)
-        for features, label in rows:
-            scores = bias[:]
-            for f in features:
-                if w := weights.get(f):
-                    for k in range(classes):
-                        scores[k] += w[k]
-            errors = softmax(scores)
+        step = rate / (1 + t / 8)
+        for at, label in rows:
+            errors = softmax(bias + weights[at].sum(axis=0))
             errors[label] -= 1
-            if max(map(abs, errors)) < 1e-3:
+            if np.abs(errors).max() < 0.01:
                 continue
-            for k in range(classes):
-                bias[k] -= step * 0.1 * errors[k]
-            for f in features:
-                w = weights.get(f)
-                if w is None:
-                    w = weights[f] = [0.0] * classes
-                for k in range(classes):
-                    w[k] -= step * errors[k] / math.sqrt(len(features))
-        for f in list(weights):
-            shrunk = [math.copysign(max(0.0, abs(x) - step * penalty), x) for x in weights[f]]
-            if any(shrunk):
-                weights[f] = shrunk
-            else:
-                del weights[f]
-    return bias, {f: w for f, w in weights.items() if max(w) - min(w) >= least_spread}
-
-
-def covering(weights: dict[str, list[float]], common: dict[str, int]) -> list[str]:
-    """Words of which every feature that speaks for a licence has one; rare words in the corpus are preferred."""
-    open_ = [set(f.split()) for f, w in weights.items() if max(w[:-1]) > w[-1]]
+            bias -= 0.1 * step * errors
+            weights[at] -= step * errors / math.sqrt(len(at) + 1)
+        weights = np.sign(weights) * np.maximum(0.0, np.abs(weights) - step * penalty)
+    return bias, weights
+
+
+def temperature(rows: list[tuple[np.ndarray, int]], bias: np.ndarray, weights: np.ndarray) -> float:
+    """By what to divide scores so that held-out rows have the least loss."""
+    scores = [(bias + weights[at].sum(axis=0), label) for at, label in rows]
+    grid = [2 ** (k / 4) for k in range(-8, 13)]
+    return min(grid, key=lambda t: (sum(-math.log(max(1e-12, softmax(s / t)[label])) for s, label in scores), t))
+
+
+def covering(common: dict[str, int], least_cover: float) -> list[str]:
+    """Words one of which every paragraph has that holds a share of least_cover of a template's pairs: fewer of its pairs than that are
+    without them. Words that are long and rare in the corpus are preferred."""
+    open_ = [(pairs, least_cover * len(pairs) - 1e-6) for _, pairs in templates()]  # pairs without a chosen word, and how many are too many
     chosen: list[str] = []
     while open_:
-        worth: dict[str, int] = {}
-        for words in open_:
-            for w in words:
-                worth[w] = worth.get(w, 0) + 1
-        best = min(worth, key=lambda w: (len(w) < 3, (1 + common.get(w, 0)) / worth[w], w))
+        worth: dict[str, float] = {}
+        for pairs, bound in open_:
+            for w in {w for p in pairs for w in p.split()}:
+                worth[w] = worth.get(w, 0) + sum(w in p.split() for p in pairs) / len(pairs)
+        best = min(worth, key=lambda w: ((1 + common.get(w, 0)) * (1 if len(w) > 5 else 30 / len(w)) / worth[w], w))
         chosen.append(best)
-        open_ = [words for words in open_ if best not in words]
+        left = [(frozenset(p for p in pairs if best not in p.split()), bound) for pairs, bound in open_]
+        open_ = [(pairs, bound) for pairs, bound in left if len(pairs) >= bound]
     return sorted(chosen)
 
 
-def fit(docs: DataFrame, sample_rows: int = 400, id_col: str = "doc_id", text_col: str = "text") -> Licences:
-    """Fits on the templates, their sentences, and the paragraphs of about sample_rows documents, chosen by a hash of the id."""
+def paragraphs_of(text: Column) -> Column:
+    """An array of paragraphs: a line break between a character that ends no sentence and one that is not blank is no border."""
+    return F.split(F.regexp_replace(text, r"(?<![.!?:;\s])[ \t]*\n(?=\S)", " "), "\n")
+
+
+def fit(docs: DataFrame, sample_rows: int = 400, unknown_rows: int = 2_000, least_cover: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> Licences:
+    """Fits on the sentences above and, as unknown, on unknown_rows paragraphs at most of about sample_rows documents, both chosen by a hash.
+
+    Half of those paragraphs calibrates. A paragraph that holds half of a template is taken for neither. least_cover is the share of a
+    template's pairs that confirms.
+    """
     rows = keyed_text(docs, id_col, text_col).where(F.col("text").isNotNull())
     there, grain = rows.select("doc_id").count(), 1 << 30
     share = min(1.0, sample_rows / max(1, there))
     sample = rows.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(grain)) < int(share * grain))
-    notices = [set(zip(w, w[1:])) for _, t in TEMPLATES if (w := words_of(t))]
+    drawn = sample.select(F.explode(paragraphs_of(F.col("text"))).alias("p")).where(F.trim("p") != "").distinct().orderBy(F.xxhash64("p"), "p").limit(unknown_rows)
+    confirming = templates()
     corpus = []
-    for (paragraph,) in sample.select(F.explode(F.split("text", "\n"))).orderBy("col").toLocalIterator():
-        words = words_of(paragraph)
-        pairs = set(zip(words, words[1:]))
-        if words and not any(len(n & pairs) > 0.5 * len(n) for n in notices):
-            corpus.append(sorted({*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}))
-    families = sorted({f for f, _ in TEMPLATES})
+    for (paragraph,) in drawn.toLocalIterator():
+        found = features_of(paragraph)
+        pairs = {f for f in found if " " in f}
+        if found and not any(len(t & pairs) >= 0.5 * len(t) for _, t in confirming):
+            corpus.append(found)
     seen: dict[str, int] = {}
-    for fs in corpus:
-        for f in fs:
+    for found in corpus:
+        for f in found:
             seen[f] = seen.get(f, 0) + 1
+    learnt, held = sentences(False), sentences(True)
     # a feature needs a word that is rare in the corpus, so that the filter stays selective
-    rare = {w for _, t in TEMPLATES for w in words_of(t) if len(w) > 2 and seen.get(w, 0) <= 0.002 * len(corpus)}
-    known = {f for _, t in TEMPLATES for f in features_of(t)} | {f for t in LOOKALIKES for f in features_of(t)}
-    known = {f for f in known if rare & set(f.split())}
-    corpus = [[f for f in fs if f in known] for fs in corpus]
-    taught, held = corpus[::2], corpus[1::2]
-    examples = [([x for x in features_of(t) if x in known], families.index(f)) for f, t in TEMPLATES]
-    unknown = [(fs, len(families)) for fs in [*([f for f in features_of(t) if f in known] for t in LOOKALIKES), *taught[:2000]]]
-    rows_ = []
-    for i in range(max(len(unknown), len(examples))):  # notices among the others, again and again
-        rows_.append(examples[i % len(examples)])
-        if i < len(unknown):
-            rows_.append(unknown[i])
-    bias, weights = train(rows_, len(families) + 1)
-    if max(bias[:-1]) >= bias[-1]:
+    rare = {w for _, t in learnt for w in words_of(t) if len(w) > 1 and seen.get(w, 0) <= 0.002 * len(corpus)}
+    known = sorted(f for f in {f for _, t in learnt for f in features_of(t)} if rare & set(f.split()))
+    number = {f: i for i, f in enumerate(known)}
+    families = sorted(NAMES)
+    label = {f: k for k, f in enumerate([*families, UNKNOWN])}
+
+    def row(found: list[str], family: str) -> tuple[np.ndarray, int]:
+        return np.array([number[f] for f in found if f in number], np.int64), label[family]
+
+    spoken = [row(features_of(t), f) for f, t in learnt]
+    plain = [row(f, UNKNOWN) for f in corpus[::2]]
+    mixed = []
+    for i in range(max(len(spoken), len(plain))):  # each among the other
+        mixed += spoken[i : i + 1] + plain[i : i + 1]
+    bias, weights = train(mixed, len(known), len(label))
+    heat = temperature([row(features_of(t), f) for f, t in held] + [row(f, UNKNOWN) for f in corpus[1::2]], bias, weights)
+    bias, weights = bias / heat, weights / heat
+    if bias[:-1].max() >= bias[-1]:
         raise ValueError("a paragraph without evidence must be unknown")
-    worst = [1 - softmax([bias[k] + sum(weights[f][k] for f in fs if f in weights) for k in range(len(bias))])[-1] for fs in held]
-    least = max([0.5, *worst]) if worst else 0.5
-    return Licences(families, bias, weights, min(least, 0.9), covering(weights, seen))
+    model = {f: weights[i].tolist() for f, i in number.items() if np.abs(weights[i]).max() > 0}
+    return Licences(families, bias.tolist(), model, covering(seen, least_cover), least_cover)
 
 
 def trie_pattern(words: list[str]) -> str:
@@ -197,40 +253,47 @@ def filter_of(lowered: Column, triggers: list[str]) -> Column:
 
 
 def table_of(spark: SparkSession, model: Licences) -> DataFrame:
-    """One row a feature: weights by class, and whether each template has it as a pair."""
-    pairs = [{f for f in features_of(t) if " " in f} for _, t in TEMPLATES]
-    features = sorted({*model.weights, *(f for p in pairs for f in p)})
-    classes = len(model.families) + 1
-    rows = [(f, *(float(x) for x in model.weights.get(f, [0.0] * classes)), *(int(f in p) for p in pairs)) for f in features]
-    schema = ", ".join(["feature string", *(f"w{k} double" for k in range(classes)), *(f"t{k} int" for k in range(len(pairs)))])
-    return spark.createDataFrame(rows, schema)
+    """feature, slot, value: a feature's weights by class (slots from 0) and its share of each template that has it as a pair (slots behind)."""
+    rows = [(f, k, float(x)) for f, ws in model.weights.items() for k, x in enumerate(ws) if x]
+    first = len(model.families) + 1
+    rows += [(p, first + i, 1.0 / len(pairs)) for i, (_, pairs) in enumerate(templates()) for p in sorted(pairs)]
+    return spark.createDataFrame(rows, "feature string, slot int, value double")
+
+
+def slots_of(spark: SparkSession, model: Licences) -> DataFrame:
+    """slot, family, bias: the bias of classes, null for templates."""
+    rows = [(k, f, b) for k, (f, b) in enumerate(zip([*model.families, UNKNOWN], model.bias))]
+    rows += [(len(rows) + i, f, None) for i, (f, _) in enumerate(templates())]
+    return spark.createDataFrame(rows, "slot int, family string, bias double")
 
 
-def licence_paragraphs(docs: DataFrame, model: Licences, least_cover: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a paragraph (line) that grants a licence: doc_id, paragraph_no, family, probability, coverage.
+def licence_paragraphs(docs: DataFrame, model: Licences, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a paragraph that grants a licence: doc_id, paragraph_no (from 0), family, probability, coverage (0 to 1, of the family's best template).
 
     Null, empty and other texts without a licence give no row. Null ids stay. Rows equal in id and text give their
-    paragraphs once. Of equally probable families the first by name is taken. Only the id and the text are read. A word counts once in
+    paragraphs once; rows of one id and other texts each give theirs. Of equally probable families the first by name is taken. Only the id and the
+    text are read, so names of other columns don't matter; an empty table gives an empty result. A word counts once in
     a paragraph however often it is there, so notices are found in long paragraphs too.
     """
-    classes = len(model.families) + 1
+    spark, key = docs.sparkSession, ["doc_id", "paragraph_no", "h"]
     rows = keyed_text(docs, id_col, text_col).where(filter_of(F.lower("text"), model.triggers))
-    paragraphs = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph_no", "paragraph"))
-    paragraphs = paragraphs.select("doc_id", "paragraph_no", F.lower("paragraph").alias("paragraph")).where(filter_of(F.col("paragraph"), model.triggers))
-    words = paragraphs.select("doc_id", "paragraph_no", F.xxhash64("paragraph").alias("h"), F.filter(F.split("paragraph", "[^a-z0-9]+"), lambda w: w != "").alias("words"))
+    paragraphs = rows.select("doc_id", F.posexplode(paragraphs_of(F.lower("text"))).alias("paragraph_no", "paragraph")).where(filter_of(F.col("paragraph"), model.triggers))
+    # dealt out before the words are split, in as many parts as the session says: there is little to read and much to do
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    paragraphs = paragraphs.withColumn("h", F.xxhash64("paragraph")).repartition(parts, *key).dropDuplicates(key)
+    words = paragraphs.select(*key, F.filter(F.split("paragraph", "[^a-z0-9]+"), lambda w: w != "").alias("words"))
     pairs = F.zip_with("words", F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
     features = F.array_distinct(F.concat("words", F.filter(pairs, lambda p: p.isNotNull())))
-    found = words.select("doc_id", "paragraph_no", "h", F.explode(features).alias("feature")).join(F.broadcast(table_of(docs.sparkSession, model)), "feature")
-    sums = [F.sum(f"w{k}").alias(f"w{k}") for k in range(classes)] + [F.sum(f"t{k}").alias(f"t{k}") for k in range(len(TEMPLATES))]
-    scored = found.groupBy("doc_id", "paragraph_no", "h").agg(*sums)
-    size = [len({f for f in features_of(t) if " " in f}) for _, t in TEMPLATES]
-    cover = {f: F.greatest(F.lit(0.0), *(F.col(f"t{k}") / F.lit(float(size[k])) for k, (g, _) in enumerate(TEMPLATES) if g == f)) for f in model.families}
-    n = len(model.families)
-    told = scored.select("doc_id", "paragraph_no", F.array(*(F.col(f"w{k}") + F.lit(model.bias[k]) for k in range(classes))).alias("z"), F.array(*(cover[f] for f in model.families)).alias("cover"))
-    told = told.withColumn("e", F.transform("z", lambda x: F.exp(x - F.array_max("z"))))
-    told = told.withColumn("p", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y)))
-    told = told.withColumn("best", F.array_max(F.transform(F.slice("p", 1, n), lambda x, i: F.struct(x.alias("probability"), (-i).alias("minus")))))
-    at = (-F.col("best.minus") + 1).cast("int")
-    told = told.select("doc_id", F.col("paragraph_no").cast("long").alias("paragraph_no"), F.element_at(F.array(*map(F.lit, model.families)), at).alias("family"), "best.probability", F.element_at("cover", at).alias("coverage"), F.element_at("p", n + 1).alias("unknown"))
-    told = told.where((1 - F.col("unknown") >= model.least) & (F.col("probability") > F.col("unknown")) & (F.col("coverage") >= least_cover))
-    return told.select("doc_id", "paragraph_no", "family", F.round("probability", 6).alias("probability"), F.round("coverage", 6).alias("coverage"))
+    found = words.select(*key, F.explode(features).alias("feature")).join(F.broadcast(table_of(spark, model)), "feature")
+    sums = found.groupBy(*key, "slot").agg(F.sum("value").alias("value")).join(F.broadcast(slots_of(spark, model)), "slot")
+    by_family = sums.groupBy(*key, "family").agg(F.max(F.when(F.col("bias").isNotNull(), F.exp(F.col("value") + F.col("bias")) - F.exp("bias"))).alias("more"), F.max(F.when(F.col("bias").isNull(), F.col("value"))).alias("cover"))
+    bias = F.element_at(F.create_map(*(F.lit(x) for f, b in zip([*model.families, UNKNOWN], model.bias) for x in (f, math.exp(b)))), F.col("family"))
+    weighed = by_family.select(*key, "family", F.coalesce("more", F.lit(0.0)).alias("more"), (F.coalesce("more", F.lit(0.0)) + bias).alias("e"), F.coalesce("cover", F.lit(0.0)).alias("cover"))
+    licence = F.when(F.col("family") != UNKNOWN, F.struct("e", "cover", "family"))
+    first_by_name = F.max_by("family", F.when(F.col("family") != UNKNOWN, F.struct("e", F.expr(f"-array_position(array({', '.join(repr(f) for f in model.families)}), family)"))))
+    told = weighed.groupBy(*key).agg(F.sum("more").alias("more"), F.max(F.when(F.col("family") == UNKNOWN, F.col("e"))).alias("none"), first_by_name.alias("family"), F.collect_list(licence).alias("all"))
+    whole = F.col("more") + F.lit(sum(map(math.exp, model.bias)))
+    mine = F.element_at(F.filter("all", lambda x: x["family"] == F.col("family")), 1)
+    told = told.where(F.col("family").isNotNull()).select(*key, "family", (mine["e"] / whole).alias("probability"), mine["cover"].alias("coverage"), (F.coalesce("none", F.lit(math.exp(model.bias[-1]))) / whole).alias("unknown"))
+    told = told.where((1 - F.col("unknown") >= least) & (F.col("probability") > F.col("unknown")) & (F.col("coverage") >= model.least_cover - 1e-9))
+    return told.select("doc_id", F.col("paragraph_no").cast("long").alias("paragraph_no"), "family", F.round("probability", 6).alias("probability"), F.round(F.least("coverage", F.lit(1.0)), 6).alias("coverage"))

@@ -417,7 +417,7 @@ def test_rows_of_a_crowd_grow_with_its_lines(spark):
         keys = line_dedup.line_keys(lines)
         crowd = spark.createDataFrame([(int(g), df_line) for kind, k, row, *_ in keys for g, df_line in zip(line_dedup.group_of(k, 16).tolist(), (hash(lines[i]) for i in row.tolist()))], "grp long, line long")
         many = crowd.groupBy("grp").count().where("count > 256").select("grp")
-        counts[n] = line_dedup.crowds_dealt(crowd.join(many, "grp").distinct(), texts, 16).count()
+        counts[n] = line_dedup.crowds_dealt(crowd.join(many, "grp").distinct(), texts, 16)[0].count()
     assert counts[800] <= 2.5 * counts[400] + 100
 
 
@@ -600,21 +600,82 @@ def test_held_out_rows_and_fields_teach_nothing(spark):
 # 9
 
 
-def test_licences(spark, docs):
-    model = licences.fit(docs)
-    assert len(model.triggers) < 200
+@pytest.fixture(scope="module")
+def licence_model(docs):
+    return licences.fit(docs)
+
+
+def brute_paragraphs(text):
+    """Lines, each joined to the one behind it if it ends no sentence and that one is not blank."""
+    lines = (text or "").lower().split("\n")
+    out = [lines[0]]
+    for line in lines[1:]:
+        before = out[-1].rstrip(" \t")
+        if before and not before[-1].isspace() and before[-1] not in ".!?:;" and line and not line[0].isspace():
+            out[-1] = before + " " + line
+        else:
+            out.append(line)
+    return out
+
+
+def brute_licences(rows, model, least=0.5):
+    out = set()
+    for i, t in rows:
+        for k, p in enumerate(brute_paragraphs(t)):
+            words = [w for w in re.split("[^a-z0-9]+", p) if w]
+            pairs = {f"{a} {b}" for a, b in zip(words, words[1:])}
+            z = [b + sum(model.weights[f][c] for f in {*words} | pairs if f in model.weights) for c, b in enumerate(model.bias)]
+            e = [math.exp(x) for x in z]
+            best = max(range(len(model.families)), key=lambda c: (e[c], -c))
+            cover = max(len(x & pairs) / len(x) for f, x in licences.templates() if f == model.families[best])
+            if 1 - e[-1] / sum(e) >= least and e[best] > e[-1] and cover >= 0.6 - 1e-9:
+                out.add((i, k, model.families[best], round(e[best] / sum(e), 4), round(cover, 4)))
+    return out
+
+
+def test_licences(spark, docs, odd, licence_model):
     words = " und anderes wort" * 30
-    rows = [(1, "Released under the MIT License."), (2, "x\n" + "Licensed under the Apache License, Version 2.0." + words), (3, "The Apache helicopter was hit under fire."), (4, None), (5, ""), (6, "This work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0."), (None, "released UNDER the mit license"), (7, "He lost his driving license in May.")]
-    got = licences.licence_paragraphs(frame(spark, rows), model).collect()
-    assert key((r.doc_id, r.paragraph_no, r.family) for r in got) == key([(1, 0, "mit"), (2, 1, "apache-2.0"), (6, 0, "gpl-3.0"), (6, 1, "cc-by-nc"), (None, 0, "mit")])
-    found = {(r.doc_id, r.paragraph_no) for r in licences.licence_paragraphs(docs, model).collect()}
-    planted = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "p")).where("p rlike 'the MIT License|Apache License, Version|GNU General Public License, version 3|CC BY-NC 4.0'").collect()
-    assert found == {(r.doc_id, r.n) for r in planted}
-    assert licences.licence_paragraphs(docs.limit(0), model).count() == 0
+    rows = [(1, "Released under the MIT License."), (2, "x.\n" + "Licensed under the Apache License, Version 2.0." + words), (3, "The Apache helicopter was hit under fire."), (4, None), (5, ""), (6, "This work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0."), (None, "released UNDER the mit license"), (7, "He lost his driving license in May."), (8, "All rights reserved.")]
+    rows += [(1, "Released under the MIT License."), (1, "Released under the MIT License."), (1, "All rights reserved.")]
+    got = licences.licence_paragraphs(clashing(spark, rows), licence_model).collect()
+    assert key((r.doc_id, r.paragraph_no, r.family) for r in got) == key([(1, 0, "mit"), (1, 0, "proprietary"), (2, 1, "apache-2.0"), (6, 0, "gpl-3.0"), (6, 1, "cc-by-nc"), (None, 0, "mit"), (8, 0, "proprietary")])
+    every = rows + odd[1] + [(1000 + r.doc_id, r.text) for r in docs.collect()]
+    got = licences.licence_paragraphs(frame(spark, every), licence_model).collect()
+    assert len(got) == len({(r.doc_id, r.paragraph_no, r.family) for r in got}) and all(0 <= r.coverage <= 1 for r in got)
+    assert {(r.doc_id, r.paragraph_no, r.family, round(r.probability, 4), round(r.coverage, 4)) for r in got} == brute_licences(every, licence_model)
+    planted = {(1000 + r.doc_id) for r in docs.collect() if re.search("the MIT License|Apache License, Version|GNU General Public License, version 3|CC BY-NC 4.0|All rights reserved", r.text or "")}
+    assert {r.doc_id for r in got if r.doc_id and r.doc_id >= 1000} == planted
+    assert licences.licence_paragraphs(docs.limit(0), licence_model).count() == 0
+
+
+# Wordings that the model does not learn from.
+UNSEEN = [
+    ("mit", "This plugin is offered to you under the MIT license, see below."), ("mit", "Copyright 2019. Use, copy and share under the terms of the MIT License."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights"),
+    ("apache-2.0", "You can find the whole code on the web under the Apache License 2.0"), ("apache-2.0", "Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("gpl-3.0", "Licensed under GPLv3"), ("gpl-3.0", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."),
+    ("gpl-2.0", "We share all of this under the GNU General Public License, version 2, and hope you like it."), ("lgpl", "The parser is covered by the GNU Lesser General Public License."), ("agpl-3.0", "The server itself is under the GNU Affero General Public License."),
+    ("bsd-3-clause", "Everything here is under the BSD 3-Clause License."), ("bsd-2-clause", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met"),
+    ("bsl-1.0", "Subject to the Boost Software License, Version 1.0."), ("zlib", "A small library under the zlib license."), ("mpl-2.0", "Each file is under the Mozilla Public License, v. 2.0, as stated."), ("epl", "The bundle comes under the Eclipse Public License 2.0."),
+    ("isc", "Shared with everyone under the ISC License."), ("cc0", "The data set is under the CC0 1.0 Universal licence."), ("cc-by", "Pictures: under the Creative Commons Attribution 4.0 International License."), ("cc-by-sa", "Text of this page is under CC BY-SA 4.0 unless noted."), ("cc-by-nd", "Songs under CC BY-ND 4.0, by the band."),
+    ("ofl-1.1", "The typeface falls under the SIL Open Font License."), ("proprietary", "Copyright 2020 by the firm. All rights reserved."),
+]
+HARMLESS = [
+    "The public library is open to all under the new law.", "A licence to drive is not a licence to kill.", "Version 3 of the public plan was released in 2004.", "The MIT press published a book about the history of software.", "He wrote that the Apache License is longer than the others.",
+    "Common creative work is under discussion.", "The eclipse was public and free.", "Nothing in the mozilla browser was modified.", "The conditions of the boat were poor, and so were ours.", "She holds all the rights to her songs.", "They attribute this to a public source.", "The author has waived his fee.",
+]
+
+
+def test_licences_in_other_words(spark, licence_model):
+    rows = [(i, t) for i, (_, t) in enumerate(UNSEEN)] + [(100 + i, t) for i, t in enumerate(HARMLESS)]
+    got = {r.doc_id: (r.family, r.probability) for r in licences.licence_paragraphs(frame(spark, rows), licence_model).collect()}
+    right = [i for i, (f, _) in enumerate(UNSEEN) if got.get(i, ("", 0))[0] == f]
+    assert len(right) >= 0.9 * len(UNSEEN) and len(got) <= len(right) + 2
+    assert abs(sum(p for _, p in got.values()) / len(got) - len(right) / len(got)) < 0.2  # probabilities say how often they're right
 
 
-def test_licence_main_path_runs_no_python(spark, docs):
-    plan = licences.licence_paragraphs(docs, licences.fit(docs))._jdf.queryExecution().executedPlan().toString()
+def test_licence_main_path_runs_no_python(docs, licence_model):
+    plan = licences.licence_paragraphs(docs, licence_model)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
