@@ -76,15 +76,13 @@ SQL = {
     "op2_lm_scoring": r"""
 with t as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') as w from documents),
  c as (select word, count(*) as n from (select unnest(w) as word from t) group by 1),
- v as (select word, n, id from (select word, n, row_number() over (order by n desc, word) as id from c) where id <= 32767),
- k as (select 0 as id, (select sum(n) from c) - (select sum(n) from v) as n union all select id, n from v),
- s as (select id, (n + 1) / sum(n + 1) over () as share from k),
- tok as (select doc_id, pos, coalesce(id, 0) as id from (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from t) left join v using (word)),
- g as (select b.*, good.doc_id is not null as chosen from (select doc_id, coalesce(lag(id) over (partition by doc_id order by pos), -1) as a, id as b from tok) b
+ s as (select word, (n + 1) / ((select sum(n) + count(*) + 1 from c)) as share from c),
+ tok as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from t),
+ g as (select b.*, good.doc_id is not null as chosen from (select doc_id, coalesce(lag(word) over (partition by doc_id order by pos), '') as a, word as b from tok) b
    left join (select distinct doc_id from labels where quality = 1 and toxic = 0) good using (doc_id)),
  cb as (select a, b, count(*) as n, count(case when chosen then 1 end) as m from g group by 1, 2),
  cf as (select a, count(*) as n, count(case when chosen then 1 end) as m from g group by 1),
- l as (select doc_id, avg(-ln((cb.m + 64 * share) / (cf.m + 64))) as lt, avg(-ln((cb.n + 64 * share) / (cf.n + 64))) as lb from g join cb using (a, b) join cf using (a) join s on s.id = g.b group by 1)
+ l as (select doc_id, avg(-ln((cb.m + 64 * share) / (cf.m + 64))) as lt, avg(-ln((cb.n + 64 * share) / (cf.n + 64))) as lb from g join cb using (a, b) join cf using (a) join s on s.word = g.b group by 1)
 select doc_id, len(w) as n_tokens, coalesce(round(lt, 6), 0.0) as target_loss, coalesce(round(lb, 6), 0.0) as background_loss, coalesce(round(round(lt, 6) - round(lb, 6), 6), 0.0) as score from t left join l using (doc_id)
 """,
     "op10_decontamination": f"""

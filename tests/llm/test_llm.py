@@ -72,34 +72,33 @@ def test_merging_is_the_library(docs):
 # 2
 
 
-def brute_losses(rows, good, max_words, prior):
+def brute_losses(rows, good, prior):
     words = [re.findall(r"\w+", (t or "").lower()) for _, t in rows]
     counts = Counter(w for ws in words for w in ws)
-    kept = sorted(counts, key=lambda w: (-counts[w], w))[:max_words]
-    number = {w: i + 1 for i, w in enumerate(kept)}
-    known = [sum(counts.values()) - sum(counts[w] for w in kept)] + [counts[w] for w in kept]
-    share = [(n + 1) / (sum(known) + len(known)) for n in known]
+    whole = sum(counts.values()) + len(counts) + 1
     pairs, firsts = [Counter(), Counter()], [Counter(), Counter()]
-    seqs = [[number.get(w, 0) for w in ws] for ws in words]
-    for (i, _), s in zip(rows, seqs):
-        for a, b in zip([-1, *s], s):
+    for (i, _), ws in zip(rows, words):
+        for a, b in zip([None, *ws], ws):
             for m in (0, 1) if i in good else (0,):
                 pairs[m][a, b] += 1
                 firsts[m][a] += 1
     out = []
-    for (i, _), s in zip(rows, seqs):
-        loss = [-sum(math.log((pairs[m][a, b] + prior * share[b]) / (firsts[m][a] + prior)) for a, b in zip([-1, *s], s)) / max(1, len(s)) for m in (1, 0)]
-        out.append((i, len(s), *loss))
+    for (i, _), ws in zip(rows, words):
+        loss = [-sum(math.log((pairs[m][a, b] + prior * (counts[b] + 1) / whole) / (firsts[m][a] + prior)) for a, b in zip([None, *ws], ws)) / max(1, len(ws)) for m in (1, 0)]
+        out.append((i, len(ws), *loss))
     return out
 
 
-def test_lm_scoring(spark, odd):
-    df, rows = odd
-    good = spark.createDataFrame([(4,), (6,), (6,), (None,), (999,)], "doc_id long")
-    got = key(tuple(r) for r in lm_scoring.cross_entropy_difference(df, good, max_words=12, prior=8.0).collect())
-    want = key(brute_losses(rows, {4, 6}, 12, 8.0))
+@pytest.mark.parametrize("chunk", [6 << 20, 1])
+def test_lm_scoring(spark, odd, docs, monkeypatch, chunk):
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", chunk)
+    rows = odd[1] + [(100 + r.doc_id, r.text) for r in docs.limit(40).collect()]
+    df = clashing(spark, rows)
+    good = spark.createDataFrame([(4,), (6,), (6,), (None,), (999,), *((100 + k,) for k in range(0, 40, 3))], "doc_id long")
+    got = key(tuple(r) for r in lm_scoring.cross_entropy_difference(df, good, prior=8.0).collect())
+    want = key(brute_losses(rows, {4, 6, *range(100, 140, 3)}, 8.0))
     assert [g[:2] for g in got] == [w[:2] for w in want]
-    assert np.allclose([g[2:4] for g in got], [w[2:4] for w in want], atol=1e-4)
+    assert np.allclose([g[2:4] for g in got], [w[2:4] for w in want], atol=2e-6)
     assert all(abs(g[4] - (g[2] - g[3])) < 1e-5 for g in got)
     assert lm_scoring.cross_entropy_difference(df.limit(0), good).count() == 0
 
