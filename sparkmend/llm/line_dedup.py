@@ -10,7 +10,7 @@ of lines as long as itself or up to the threshold shorter. Keys travel packed, o
 edit changes two at most. Lines that share a key are verified on their texts by banded bit-parallel edit distance,
 up to connected classes.
 
-A key of many lines is dealt again: what its lines have in common is taken out, and what is left, which must be within the
+A key of many lines is dealt again. Lines that are linked to its least line need no comparison with one another; where others are left, what its lines have in common is taken out, and what is left, which must be within the
 same threshold, is split, probed and dealt below the old key, round after round. Each round gives a line a bounded number of rows, so
 rows grow with the number of lines and not with its square. Only lines that are equal but for twice the threshold are compared
 in tiles when more than TILE share all the rest.
@@ -19,7 +19,7 @@ in tiles when more than TILE share all the rest.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ CHARS, WORDS = 0, 1
 MOST = (2, 4)
 MOST_CHARS, MOST_WORDS = MOST
 FEW_WORDS = 20
-CROWDED, TILE = 256, 4096
+CROWDED = TILE = 4096  # lines that one task compares; all pairs of so many cost less than dealing them again
 LINE_KEY_BYTES, BUCKET_BYTES, MOST_BUCKETS = 500, 16 << 20, 1 << 14
 FILTER_BITS, FILTER_PART = 26, 1 << 17
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -227,15 +227,14 @@ def class_counts(lines: list[str]) -> np.ndarray:
     chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = (chars * np.uint32(0x9E3779B1)) >> np.uint32(27)
     cell = np.repeat(np.arange(len(lines), dtype=np.int64) << 5, np.fromiter(map(len, lines), np.int64, len(lines))) + kind
-    return np.bincount(cell, minlength=len(lines) << 5).astype(np.int32).reshape(-1, 32)
+    return np.bincount(cell, minlength=len(lines) << 5).astype(np.int16).reshape(-1, 32)
 
 
 def word_counts(split: list[list[str]]) -> np.ndarray:
     """The same of 64 classes of words."""
-    out = np.zeros((len(split), 64), np.int32)
+    out = np.zeros((len(split), 64), np.int16)
     for i, words in enumerate(split):
-        for w in words:
-            out[i, hash(w) & 63] += 1
+        out[i] = np.bincount([hash(w) & 63 for w in words], minlength=64)
     return out
 
 
@@ -387,14 +386,14 @@ def state_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def dealt_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (STATE, text): new keys of what is left of each line without what its group has in common, in `grp`; `probe` and `last` beside.
+    """Rows (STATE, text, linked): new keys of what is left of each line without what its group has in common, in `grp`; `probe` and `last` beside.
 
     What is left of at most the threshold has no segments; it meets all that is near it in length below one last key.
     """
     digest = xxhash.xxh3_64_intdigest
     for batch in slices(batches, 2 << 20):
         rows, flags = [], []
-        for grp, line, kind, edits, path, text in zip(*(batch.column(k).to_pylist() for k in range(6))):
+        for grp, line, kind, edits, path, text, linked in zip(*(batch.column(k).to_pylist() for k in range(7))):
             rest = text if kind == CHARS else text.split()
             for p, n in zip(path[::2], path[1::2]):
                 rest = rest[:p] + rest[p + n :]
@@ -407,36 +406,55 @@ def dealt_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for length, i, p, size, probe in spots:
                 seed = digest(np.array([grp, length, i], np.int64).tobytes())
                 rows.append((digest(join(rest[p : p + size]).encode("utf-8", "surrogatepass"), seed) - (1 << 63), line, kind, edits, [*path, p, size]))
-                flags.append((probe, False))
+                flags.append((linked, probe, False))
             if n <= 2 * edits:
                 rows.append((digest(np.array([grp, -1], np.int64).tobytes()) - (1 << 63), line, kind, edits, path))
-                flags.append((n > edits, True))
+                flags.append((linked, n > edits, True))
         out = state_batch(rows)
-        yield pa.RecordBatch.from_arrays([*out.columns, *(pa.array([f[k] for f in flags], pa.bool_()) for k in (0, 1))], names=[*out.schema.names, "probe", "last"])
+        yield pa.RecordBatch.from_arrays([*out.columns, *(pa.array([f[k] for f in flags], pa.bool_()) for k in range(3))], names=[*out.schema.names, "linked", "probe", "last"])
 
 
-def crowds_dealt(crowds: DataFrame, texts: DataFrame, buckets: int) -> DataFrame | None:
-    """grp, line of the groups of bounded size into which crowded keys (grp, line) come apart; None if there are no crowds."""
+def beside_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (STATE, text, pivot, its text): whether each line is linked to its group's pivot, in place of the texts."""
+    for batch in slices(batches, 2 << 20):
+        columns = [batch.column(k) for k in range(5)]
+        lines, texts, pivots, theirs = (batch.column(k).to_pylist() for k in (1, 5, 6, 7))
+        met: dict[str, tuple] = {}
+        for t in theirs:
+            if t not in met:
+                met[t] = parted(t)
+        linked = [line == pivot or near(parted(t), met[p]) for line, t, pivot, p in zip(lines, texts, pivots, theirs)]
+        yield pa.RecordBatch.from_arrays([*columns, batch.column(6), pa.array(linked)], names=[*batch.schema.names[:5], "pivot", "linked"])
+
+
+def crowds_dealt(crowds: DataFrame, texts: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame] | None:
+    """Of crowded keys (grp, line): the groups (grp, line) of bounded size into which they come apart, and the links (src, dst) to their pivots.
+
+    None if there are no crowds. In each round the least line of a group is its pivot. Lines linked to the pivot need not be
+    compared with one another; so what is dealt again are the groups with other lines, until no crowd has such.
+    """
     if crowds.isEmpty():
         return None
     wanted = crowds.groupBy("line").agg(F.collect_set("grp").alias("grps"))  # as many as a line has keys, at most
     state = written(texts.join(wanted, "line").select("line", "text", "grps").mapInArrow(crowd_places(buckets), STATE), "crowd_places")
-    out = None
+    groups, links = [], []
     while True:
-        there = state.join(texts, "line").select("grp", "line", "kind", "edits", "path", "text")
-        dealt = written(there.mapInArrow(dealt_again, STATE + ", probe boolean, last boolean").distinct(), "dealt_again")
-        sizes = dealt.groupBy("grp").agg(F.count("*").alias("n"), F.min("probe").alias("only_probes")).where("n > 1 and not only_probes")
+        pivots = state.groupBy("grp").agg(F.min("line").alias("pivot"))
+        pivots = pivots.join(texts.select(F.col("line").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
+        both = state.join(texts, "line").join(pivots, "grp").select("grp", "line", "kind", "edits", "path", "text", "pivot", "pivot_text")
+        state = written(both.mapInArrow(beside_pivot, STATE + ", pivot long, linked boolean"), "beside_pivot")
+        links.append(state.where("linked and line <> pivot").select(F.col("line").alias("src"), F.col("pivot").alias("dst")))
+        open_ = state.groupBy("grp").agg(F.min("linked").alias("done")).where("not done").select("grp")
+        there = state.join(open_, "grp", "left_semi").join(texts, "line").select("grp", "line", "kind", "edits", "path", "text", "linked")
+        dealt = written(there.mapInArrow(dealt_again, STATE + ", linked boolean, probe boolean, last boolean").distinct(), "dealt_again")
+        sizes = dealt.groupBy("grp").agg(F.count("*").alias("n"), F.min("probe").alias("only_probes"), F.min("linked").alias("done")).where("n > 1 and not only_probes and not done")
         shared = written(dealt.join(sizes.select("grp", "n"), "grp"), "shared_again")
-        small = shared.where(F.col("last") | (F.col("n") <= CROWDED))
         tiles = F.ceil(F.col("n") / TILE).cast("long")
-        own = F.pmod("line", tiles)
-        pair = F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1))
-        groups = small.select("grp", "line", own.alias("own"), pair.alias("other"))
-        groups = groups.select(F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "line").distinct()
-        out = groups if out is None else out.union(groups)
+        small = shared.where(F.col("last") | (F.col("n") <= CROWDED)).select("grp", "line", F.pmod("line", tiles).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("other"))
+        groups.append(small.select(F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "line").distinct())
         state = written(shared.where(~F.col("last") & (F.col("n") > CROWDED)).select("grp", "line", "kind", "edits", "path"), "crowds")
         if state.isEmpty():
-            return out
+            return reduce(DataFrame.union, groups), reduce(DataFrame.union, links).distinct()
 
 
 def filter_bits(lines: int) -> int:
@@ -499,11 +517,25 @@ def texts_of(docs: DataFrame, text_col: str, field: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "line long, text string")
 
 
+def parted(text: str) -> tuple[str, list[str], set[str]]:
+    words = text.split()
+    return text, words, set(words)
+
+
+def near(a: tuple, b: tuple) -> bool:
+    """Whether two lines are linked. A word that only one of them has is an edit."""
+    longer = max(len(a[1]), len(b[1]))
+    most = int(edits_allowed(longer, WORDS))
+    if most and abs(len(a[1]) - len(b[1])) <= most and len(a[2] - b[2]) <= most and len(b[2] - a[2]) <= most and within(a[1], b[1], most):
+        return True
+    return longer < FEW_WORDS and within(a[0], b[0], min(max(len(a[0]), len(b[0])) // 10, MOST_CHARS))
+
+
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """src, dst: stars of the classes of each group; rows come sorted by group."""
     group, lines, texts = None, [], []
 
-    def star() -> pa.RecordBatch:
+    def star() -> None:
         n, root = len(texts), list(range(len(texts)))
 
         def find(i: int) -> int:
@@ -512,38 +544,46 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 i = root[i]
             return i
 
-        split = [t.split() for t in texts]
-        few = np.array([len(w) < FEW_WORDS for w in split])
-        counts, sizes = (class_counts(texts), word_counts(split)), tuple(np.fromiter(map(len, x), np.int64, n) for x in (texts, split))
+        parts = [parted(t) for t in texts]
+        if many := n > 16:
+            few = np.array([len(p[1]) < FEW_WORDS for p in parts])
+            chars, words = class_counts(texts), word_counts([p[1] for p in parts])
         left = n - 1  # links still possible
         for i in range(n - 1):
-            for kind, of in ((WORDS, split), (CHARS, texts)):
-                if kind == CHARS and not few[i]:
-                    continue
-                most = edits_allowed(np.maximum(sizes[kind][i + 1 :], sizes[kind][i]), kind)
-                at = np.flatnonzero((np.abs(sizes[kind][i + 1 :] - sizes[kind][i]) <= most) & (most > 0) & (few[i + 1 :] | (kind == WORDS)))
-                at = at[np.abs(counts[kind][at + i + 1] - counts[kind][i]).sum(axis=1) <= 2 * most[at]]
-                for j, k in zip((at + i + 1).tolist(), most[at].tolist()):
-                    a, b = find(i), find(j)
-                    if a != b and within(of[i], of[j], k):
-                        root[max(a, b)] = min(a, b)
-                        left -= 1
+            others = range(i + 1, n)
+            if many:
+                close = np.abs(words[i + 1 :] - words[i]).sum(axis=1) <= 2 * MOST_WORDS
+                if few[i]:
+                    close |= few[i + 1 :] & (np.abs(chars[i + 1 :] - chars[i]).sum(axis=1) <= 2 * MOST_CHARS)
+                others = (np.flatnonzero(close) + i + 1).tolist()
+            for j in others:
+                a, b = find(i), find(j)
+                if a != b and near(parts[i], parts[j]):
+                    root[max(a, b)] = min(a, b)
+                    left -= 1
             if not left:
                 break
-        pairs = [(lines[i], lines[r]) for i in range(n) if (r := find(i)) != i]
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["src", "dst"])
+        for i in range(n):
+            if (r := find(i)) != i:
+                found[0].append(lines[i])
+                found[1].append(lines[r])
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["src", "dst"])
 
+    found: tuple[list[int], list[int]] = [], []
     for batch in batches:
         for g, line, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
             if g != group:
-                if len(lines) > 1:
-                    yield star()
+                star()
                 group, lines, texts = g, [], []
             if not lines or lines[-1] != line:  # sorted by line within the group: a line once
                 lines.append(line)
                 texts.append(text)
-    if len(lines) > 1:
-        yield star()
+        yield out()
+        found = [], []
+    star()
+    yield out()
 
 
 def line_links(docs: DataFrame, n_lines: int, text_col: str = "text") -> DataFrame:
@@ -559,9 +599,10 @@ def line_links(docs: DataFrame, n_lines: int, text_col: str = "text") -> DataFra
     groups = found.where("not many").select("grp", "line")
     dealt = crowds_dealt(found.where("many").select("grp", "line"), texts, buckets)
     if dealt is not None:
-        groups = groups.union(dealt)
+        groups = groups.union(dealt[0])
     rows = groups.join(texts, "line").select("grp", "line", "text").repartition("grp").sortWithinPartitions("grp", "line")
-    return connected_components(rows.mapInArrow(verified, "src long, dst long"))
+    links = rows.mapInArrow(verified, "src long, dst long")
+    return connected_components(links if dealt is None else links.union(dealt[1]))
 
 
 def line_table(docs: DataFrame, key_cols: list[str], text_col: str = "text") -> DataFrame:
