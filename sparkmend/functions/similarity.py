@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -74,6 +75,19 @@ def token_set_ratio(a: str | None, b: str | None) -> float | None:
     return max(best, ratio(shared, left), ratio(shared, right)) if shared else best
 
 
+def place_likeness(a: str | None, b: str | None) -> float | None:
+    """Likeness of two place keys; 0 if their numbers differ, or if both have several words and one is unlike all of the other's. A `city` behind is passed over."""
+    if a is None or b is None:
+        return None
+    if re.findall(r"\d+", a) != re.findall(r"\d+", b):
+        return 0.0
+    x, y = a.split(), b.split()
+    if len(x) > 1 and len(y) > 1 and any(max(osa_similarity(v, w) for w in y) < 0.6 for v in x):
+        return 0.0
+    bare = [re.sub(r"\s+c+ity$", "", k) for k in (a, b)]
+    return max(osa_similarity(a, b), osa_similarity(*bare))
+
+
 def _udf(f: Callable, kind: str = "double"):
     @F.pandas_udf(kind)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -86,6 +100,10 @@ def osa_udf():
     return _udf(osa_similarity)
 
 
+def place_udf():
+    return _udf(place_likeness)
+
+
 def ratio_udf():
     return _udf(ratio)
 

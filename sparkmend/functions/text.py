@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 # Cells that mean "no value", by flavour.
 PLACEHOLDERS = ("", "n/a", "na", "unknown", "?", "none", "null", "-")
 FORMAT_PLACEHOLDERS = ("n/a", "na", "null", "none", "nan", "-", "?", "--")
-STOPWORDS = ("a", "an", "the", "is", "are", "was", "were", "of", "in", "on", "at", "to", "for", "and", "or", "by", "with", "what", "who", "when", "where", "which", "how", "why", "did", "do", "does", "that", "this", "it", "its", "be", "as", "from")
-NICKNAMES = {"bob": "robert", "bill": "william", "jim": "james", "mike": "michael", "tom": "thomas", "dick": "richard", "liz": "elizabeth", "kate": "katherine", "tony": "anthony", "joe": "joseph"}
+# Words that question and triple matching passes over.
+STOPWORDS = tuple(
+    "the a an of to in on for and or is are was were be been being with as at by from this that these those it its we our you your they their "
+    "what which who how why when where do does did will would should can could about into over under than then them he she his her".split()
+)
+# Short forms of given names.
+NICKNAMES = {"bill": "william", "bob": "robert", "dick": "richard", "jim": "james", "jack": "john", "charlie": "charles", "ed": "edward", "mike": "michael", "tom": "thomas", "joe": "joseph"}
 SEVERITIES = {"low": 0, "normal": 1, "high": 2, "critical": 3}
 SENSITIVITIES = ("public", "internal", "confidential", "restricted")
 

@@ -22,29 +22,52 @@ def blocked_pairs(df: DataFrame, row_id: str, keys: list[Column], cap: int = 40)
     return blocks.select(F.explode("ids").alias("a"), "ids").select("a", F.explode(F.filter("ids", lambda x: x > F.col("a"))).alias("b")).distinct()
 
 
-def vocabulary_fix(values: DataFrame, value: str, order: str, similarity, rare_below: int = 3, least: float = 0.8) -> DataFrame:
-    """rare, fix, similarity, confidence: each rare value's most similar frequent one, of equals that seen first.
+def near_values(left: DataFrame, right: DataFrame, least: float = 0.8) -> DataFrame:
+    """v, w: pairs of distinct strings of `left` (v) and `right` (w) that may have OSA similarity `least`, a superset of those that have.
 
-    Only lengths that can reach `least` are compared: frequent values are dealt by length, and a rare value probes the few
-    lengths within reach, so this is an equi-join and not all pairs.
+    Of strings that k edits part, one of 2k + 1 even segments of the shorter or equal one stands in the other at most k places off
+    (a swap touches two segments at most). So the right side is dealt by length, segment and content, and the left side probes
+    the lengths and places within reach: an equi-join on content, not on length.
     """
+    n, m = F.length("v"), F.col("m")
+    most = lambda longer: F.floor((1 - least) * longer + 1e-9).cast("int")
+    shortest = F.greatest(F.lit(1), F.ceil(n * least - 1e-9)).cast("int")
+    longest = F.floor(n / least + 1e-9).cast("int")
+    own = right.select("w", F.length("w").alias("m")).where("m > 0")
+    own = own.select("w", "m", F.explode(F.sequence(F.greatest(F.lit(1), F.ceil(m * least - 1e-9)).cast("int"), F.floor(m / least + 1e-9).cast("int"))).alias("n"))
+    own = own.withColumn("k", most(F.greatest("m", "n"))).select("w", "m", "n", F.explode(segment_keys(F.col("w"), m, 2 * F.col("k") + 1, F.lit(0))).alias("s"))
+    probe = left.select("v", n.alias("n")).where("n > 0").select("v", "n", F.explode(F.sequence(shortest, longest)).alias("m"))
+    probe = probe.withColumn("k", most(F.greatest("m", "n"))).select("v", "m", "n", F.explode(segment_keys(F.col("v"), F.col("m"), 2 * F.col("k") + 1, F.col("k"))).alias("s"))
+    return probe.join(own, ["m", "n", "s"]).select("v", "w").distinct()
+
+
+def segment_keys(text: Column, length: Column, parts: Column, shift: Column) -> Column:
+    """Of a string of `length` characters cut into even parts, `part:content` of each, read from the text at up to `shift` places off."""
+    def at(i: Column) -> Column:
+        first, past = F.floor(i * length / parts), F.floor((i + 1) * length / parts)
+        return F.transform(F.sequence(-shift, shift), lambda d: F.concat_ws(":", i, F.substr(text, (first + d + 1).cast("int"), (past - first).cast("int"))))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), parts - 1), at)))
+
+
+def vocabulary_fix(values: DataFrame, value: str, order: str, similarity, rare_below: int = 3, least: float = 0.8) -> DataFrame:
+    """rare, fix, similarity, confidence: each rare value's most similar frequent one, of equals that seen first; only pairs of near_values are compared."""
     counts = values.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
-    frequent = counts.where(F.col("n") >= rare_below).select(F.col("v").alias("fix"), F.col("n").alias("n_fix"), F.col("first").alias("first_fix"), F.length("v").alias("len"))
-    length = F.length("v")
-    rare = counts.where(F.col("n") < rare_below).select("v", "n", F.explode(F.sequence(F.greatest(F.lit(1), F.ceil(length * least)), F.floor(length / least))).alias("len")).withColumn("len", F.col("len").cast("int"))
-    pairs = rare.join(frequent, "len").withColumn("s", similarity(F.col("v"), F.col("fix"))).where(F.col("s") >= least)
-    best = F.max_by(F.struct("fix", "s", "n_fix"), F.struct("s", -F.col("first_fix")))
+    frequent = counts.where(F.col("n") >= rare_below).select(F.col("v").alias("w"), F.col("n").alias("n_fix"), F.col("first").alias("first_fix"))
+    rare = counts.where(F.col("n") < rare_below).select("v", "n")
+    pairs = near_values(rare, frequent, least).join(rare, "v").join(frequent, "w").withColumn("s", similarity(F.col("v"), F.col("w"))).where(F.col("s") >= least)
+    best = F.max_by(F.struct("w", "s", "n_fix"), F.struct("s", -F.col("first_fix")))
     out = pairs.groupBy("v", "n").agg(best.alias("b"))
-    return out.select(F.col("v").alias("rare"), "b.fix", F.col("b.s").alias("similarity"), (F.col("b.s") * F.col("b.n_fix") / (F.col("b.n_fix") + F.col("n"))).alias("confidence"))
+    return out.select(F.col("v").alias("rare"), F.col("b.w").alias("fix"), F.col("b.s").alias("similarity"), (F.col("b.s") * F.col("b.n_fix") / (F.col("b.n_fix") + F.col("n"))).alias("confidence"))
 
 
-def guarded_merge(pairs: DataFrame, attributes: DataFrame, row_id: str, guard: Callable[[list[dict], list[dict]], bool] | None = None) -> DataFrame:
+def guarded_merge(pairs: DataFrame, attributes: DataFrame, row_id: str, guard: Callable[[list[dict], list[dict]], bool] | None = None, in_one_task: int = 0) -> DataFrame:
     """node, cluster: pairs(a, b) merged in sorted order wherever the guard allows the two clusters as they then are.
 
     A guard looks only at the clusters being merged, which lie in one component of the unguarded links; so components are found
     first, distributed, and the order is replayed within each. Cluster ids are least members.
     """
-    components = connected_components(pairs, "a", "b")
+    components = connected_components(pairs, "a", "b", in_one_task=in_one_task)
     if guard is None:
         return components.withColumnRenamed("component", "cluster")
     names = [c for c in attributes.columns if c != row_id]

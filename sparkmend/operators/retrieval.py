@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkmend.functions.text import content_words, words
 from sparkmend.operators.shared import written
@@ -56,6 +63,85 @@ def overlap_score(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, q
     return terms.join(asked, "term").groupBy("query_id", "doc_id", "size").agg(F.count(F.lit(1)).alias("n")).select("query_id", "doc_id", F.round(F.col("n") / (1 + F.log(1 + F.col("size"))), 6).alias("score"))
 
 
+def term_top_k(rows: DataFrame, asked: DataFrame, k: int, value: Callable[[np.ndarray, int], np.ndarray], block: int = 2048) -> DataFrame:
+    """query_id, doc_id, score > 0: the k best of rows(doc_id, w) for each query of asked(query_id, term, weight); score is the sum of value(counts, length) * weight over the terms.
+
+    Queries go out in blocks of bounded size; each batch of rows is scored against a block's postings at once and keeps k a query,
+    so no table of (query, row) pairs exists and a frequent term is no join key. The batches' best are then ranked by query.
+    """
+    spark = rows.sparkSession
+    kinds = rows.schema["doc_id"].dataType, asked.schema["query_id"].dataType
+    schema = T.StructType([T.StructField("query_id", kinds[1]), T.StructField("doc_id", kinds[0]), T.StructField("score", T.DoubleType())])
+    best: list[DataFrame] = []
+
+    def against(some: list[tuple[object, str, float]]) -> None:
+        number: dict = {}
+        postings: dict[str, tuple[list[int], list[float]]] = {}
+        for q, term, weight in some:
+            at = postings.setdefault(term, ([], []))
+            at[0].append(number.setdefault(q, len(number)))
+            at[1].append(weight)
+        packed = {t: (np.array(a, np.int64), np.array(b)) for t, (a, b) in postings.items()}
+        bound = spark.sparkContext.broadcast((list(number), packed))
+
+        def run(batches):
+            names, postings = bound.value
+            for batch in batches:
+                for start in range(0, batch.num_rows, 256):
+                    part = batch.slice(start, 256)
+                    ids = part.column(0)
+                    scores = np.zeros((part.num_rows, len(names)))
+                    for i, words_ in enumerate(part.column(1).to_pylist()):
+                        counts = Counter(w for w in words_ or () if w in postings)
+                        if counts:
+                            values = value(np.fromiter(counts.values(), float, len(counts)), len(words_))
+                            found = [postings[w] for w in counts]
+                            sizes = [len(f[0]) for f in found]
+                            weights = np.concatenate([f[1] for f in found]) * np.repeat(values, sizes)
+                            scores[i] = np.bincount(np.concatenate([f[0] for f in found]), weights, len(names))
+                    scores = scores.round(6)
+                    # of equal scores the least id
+                    by_id = np.argsort(np.array(ids.to_pylist()), kind="stable")
+                    order = by_id[np.argsort(-scores[by_id], axis=0, kind="stable")[:k]]
+                    picked = np.take_along_axis(scores, order, 0)
+                    q = np.broadcast_to(np.arange(len(names)), order.shape)
+                    good = picked > 0
+                    yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in q[good].tolist()], to_arrow_type(kinds[1])), ids.take(pa.array(order[good])), pa.array(picked[good])], names=["query_id", "doc_id", "score"])
+
+        best.append(rows.select("doc_id", "w").mapInArrow(run, schema))
+
+    some, last, n = [], None, 0
+    for q, term, weight in asked.select("query_id", "term", "weight").orderBy("query_id", "term").toLocalIterator():
+        if q != last:
+            if n == block:
+                against(some)
+                some, n = [], 0
+            last, n = q, n + 1
+        some.append((q, term, weight))
+    if some:
+        against(some)
+    return top_k(reduce(DataFrame.unionByName, best) if best else spark.createDataFrame([], schema), ["query_id"], "score", "doc_id", k)
+
+
+def bm25_top_k(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, question: str, k: int, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
+    """query_id, doc_id, score, rank: the k best by BM25, as bm25 scores them."""
+    tokens = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w"))
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(words(F.col(question))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
+    n, avgdl = tokens.agg(F.count(F.lit(1)), F.coalesce(F.avg(F.size("w")), F.lit(1.0))).first()
+    df = tokens.select(F.explode(F.array_distinct("w")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = written(df.select("term", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")), "idf")
+    mean = idf.agg(F.avg("idf")).first()[0] or 0.0
+    weights = asked.join(idf, "term").select("query_id", "term", (F.col("qf") * F.when(F.col("idf") < 0, floor * mean).otherwise(F.col("idf"))).alias("weight"))
+    return term_top_k(tokens, weights, k, lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)))
+
+
+def overlap_top_k(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, question: str, k: int) -> DataFrame:
+    """query_id, doc_id, score, rank: the k best by overlap_score."""
+    held = docs.select(F.col(doc_id).alias("doc_id"), F.array_distinct(content_words(F.col(text))).alias("w"))
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(content_words(F.col(question)))).alias("term"), F.lit(1.0).alias("weight"))
+    return term_top_k(held, asked, k, lambda tf, size: np.full(len(tf), 1 / (1 + np.log(1 + size))))
+
+
 def top_k(scored: DataFrame, keys: list[str], score: str, tie: str, k: int, rank: str = "rank") -> DataFrame:
     """The k best of each key with their rank from 1."""
     w = Window.partitionBy(*keys).orderBy(F.desc(score), tie)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +13,7 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        warnings.warn(f"spark.checkpoint.dir is unset; tables in between go to {base}, which all machines must share", stacklevel=3)
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")

@@ -6,6 +6,7 @@ from sparkmend.plans import governance as governance
 from sparkmend.plans import graphs as graphs
 from sparkmend.plans import inventory as inventory
 from sparkmend.plans import kb as kb
+from sparkmend.plans import kb_quality as kb_quality
 from sparkmend.plans import more as more
 from sparkmend.plans import reports as reports
 from sparkmend.plans import retrieval as retrieval

@@ -53,8 +53,8 @@ with d as (select doc_id, {TOKENS} as w from documents), f as (select count(*) a
 
 @query(BM25 + "select query_id, doc_id, round(score, 3) as score from (select *, row_number() over (partition by query_id order by score desc, doc_id) as r from s where score > 0) where r <= 25")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = R.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
-    return R.top_k(scored, ["query_id"], "score", "doc_id", 25).select("query_id", "doc_id", F.round("score", 3).alias("score"))
+    best = R.bm25_top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", 25)
+    return best.select("query_id", "doc_id", F.round("score", 3).alias("score"))
 
 
 CONTENT = "list_distinct([w for w in regexp_extract_all(lower({c}), '[a-z0-9]+') if length(w) > 2 and w not in (" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + ")])"
@@ -66,8 +66,7 @@ with d as (select doc_id, {CONTENT.format(c="text")} as w from documents), q as
 select query_id, doc_id, score from (select *, row_number() over (partition by query_id order by score desc, doc_id) as r from s) where r <= 10
 """)
 def keyword_overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = R.overlap_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
-    return R.top_k(scored, ["query_id"], "score", "doc_id", 10).drop("rank")
+    return R.overlap_top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", 10).drop("rank")
 
 
 @query(BM25 + f""", k as (select query_id, doc_id, round(count(*) / (1 + ln(1 + size)), 6) as score from (select doc_id, len(w) as size, unnest(w) as term from (select doc_id, {CONTENT.format(c="text")} as w from documents))
@@ -77,8 +76,7 @@ select query_id, doc_id, score from (select *, row_number() over (partition by q
 """)
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    first = R.top_k(R.bm25(d, q, "doc_id", "text", "item_id", "text"), ["query_id"], "score", "doc_id", 25)
-    second = R.top_k(R.overlap_score(d, q, "doc_id", "text", "item_id", "text"), ["query_id"], "score", "doc_id", 25)
+    first, second = (f(d, q, "doc_id", "text", "item_id", "text", 25) for f in (R.bm25_top_k, R.overlap_top_k))
     return R.top_k(R.fuse([first, second], ["query_id"], "doc_id"), ["query_id"], "score", "doc_id", 10).drop("rank")
 
 
