@@ -10,5 +10,6 @@ from sparkmend.plans import kb_quality as kb_quality
 from sparkmend.plans import more as more
 from sparkmend.plans import reports as reports
 from sparkmend.plans import retrieval as retrieval
+from sparkmend.plans import views as views
 from sparkmend.plans.registry import QUERIES as QUERIES
 from sparkmend.plans.registry import SQL as SQL
