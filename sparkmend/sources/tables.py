@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkmend.functions.text import html_text
+from sparkmend.sources.office import FORMATS, read_office
 
 
 def all_strings(columns: list[str]) -> T.StructType:
@@ -87,11 +88,12 @@ READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     ".md": read_text,
     ".csv": lambda spark, path: (lambda df: df.select(F.lit(path).alias("path"), sentences(df).alias("text")))(read_csv(spark, path)),
     ".eml": read_mail,
+    **{kind: lambda spark, path: read_office(spark, path).groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n").alias("text")) for kind in FORMATS},
 }
 
 
 def read_document(spark: SparkSession, path: str) -> DataFrame:
-    """path, text by the extension's reader; others can be put in READERS (scans, office files)."""
+    """path, text by the extension's reader; others can be put in READERS (scans, recordings)."""
     dot = path[path.rfind(".") :].lower()
     if dot not in READERS:
         raise ValueError(f"no reader for {dot or path}")
