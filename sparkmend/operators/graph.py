@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkmend.operators.components import connected_components
 from sparkmend.operators.shared import written
 
 
@@ -105,59 +103,39 @@ def shared_members(rows: DataFrame, item: str, group: str, cap: int = 1000) -> D
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("groups"))
 
 
-def communities(edges: DataFrame, small: int = 3, rounds: int = 20, largest: int = 200_000) -> DataFrame:
-    """node, community: Louvain's local moves within each connected component, then small communities join the neighbour they have most edges to.
+def communities(edges: DataFrame, small: int = 3, rounds: int = 24) -> DataFrame:
+    """node, community: Louvain's local moves over the whole graph, then small communities join the neighbour they have most edges to.
 
-    Components are found first and dealt out, a component being the unit of work; one of more than `largest` edges raises an error rather than
-    overfill a task. Nodes are visited in order and ties go to the least community, so runs agree. A community is named by its least node.
+    In a round half of the nodes, by a hash of node and round, see what each neighbouring community would gain them and move to the best (ties:
+    the own, then the least); the others stand still, so no two change places for ever. A round is joins and
+    partial sums over all edges, so neither a giant component nor a hub is one task's work. Rounds end when nothing has moved twice
+    running. Runs agree. A community is named by its least node.
     """
-    links = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    links = written(links, "weights")
-    of = connected_components(links, "a", "b")
-    dealt = links.join(of.withColumnRenamed("node", "a"), "a")
-    most = dealt.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if most > largest:
-        raise ValueError(f"a component has {most} edges")
-
-    def louvain(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for a, b, w in zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["w"].tolist()):
-            near.setdefault(a, {})[b] = w
-            near.setdefault(b, {})[a] = w
-        mass, degree = 2 * pdf["w"].sum(), {n: sum(x.values()) for n, x in near.items()}
-        label, held = {n: n for n in near}, dict(degree)
-        for _ in range(rounds):
-            moved = False
-            for n in sorted(near):
-                own = label[n]
-                held[own] -= degree[n]
-                pull: dict = {own: 0.0}
-                for m, w in near[n].items():
-                    pull[label[m]] = pull.get(label[m], 0.0) + w
-                best = min(pull, key=lambda c: (-(pull[c] - held[c] * degree[n] / mass), c != own, c))
-                held[best] += degree[n]
-                if best != own:
-                    label[n], moved = best, True
-            if not moved:
-                break
-        sizes: dict = {}
-        for c in label.values():
-            sizes[c] = sizes.get(c, 0) + 1
-        for n in sorted(near):
-            if sizes[label[n]] < small:
-                pull = {}
-                for m, w in near[n].items():
-                    if sizes[label[m]] >= small:
-                        pull[label[m]] = pull.get(label[m], 0.0) + w
-                if pull:
-                    label[n] = min(pull, key=lambda c: (-pull[c], c))
-        least: dict = {}
-        for n, c in label.items():
-            least[c] = min(least.get(c, n), n)
-        return pd.DataFrame({"node": list(label), "community": [least[c] for c in label.values()]})
-
-    kind = links.schema["a"].dataType.simpleString()
-    return dealt.groupBy("component").applyInPandas(louvain, f"node {kind}, community {kind}")
+    ends = edges.where("src <> dst").select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other")))).alias("x")).select("x.*")
+    near = written(ends.groupBy("node", "other").agg(F.count(F.lit(1)).cast("double").alias("w")), "weights")
+    degrees = near.groupBy("node").agg(F.sum("w").alias("degree"))
+    labels = written(degrees.select("node", "degree", F.col("node").alias("label")), "labels")
+    mass = near.agg(F.sum("w")).first()[0] or 1.0
+    still = 0
+    for r in range(rounds):
+        held = labels.groupBy("label").agg(F.sum("degree").alias("held"))
+        pulls = near.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.sum("w").alias("pull"))
+        pulls = pulls.union(labels.select("node", "label", F.lit(0.0))).groupBy("node", "label").agg(F.sum("pull").alias("pull")).join(held, "label")
+        mine = labels.select("node", "degree", F.col("label").alias("own")).where(F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0)
+        gain = F.col("pull") - (F.col("held") - F.when(F.col("label") == F.col("own"), F.col("degree")).otherwise(0.0)) * F.col("degree") / mass
+        best = pulls.join(mine, "node").groupBy("node").agg(F.min_by("label", F.struct(-F.round(gain, 9), F.col("label") != F.col("own"), F.col("label"))).alias("best"))
+        moved = written(labels.join(best, "node", "left").select("node", "degree", F.coalesce("best", "label").alias("label"), (F.col("best") != F.col("label")).alias("moved")), "labels")
+        still = 0 if moved.where("moved").limit(1).count() else still + 1
+        labels = moved.select("node", "degree", "label")
+        if still == 2:
+            break
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    sized = written(labels.join(sizes, "label").select("node", "label", "size"), "sized_labels")
+    large = sized.where(F.col("size") >= small).select(F.col("node").alias("other"), F.col("label").alias("next"))
+    pulled = near.join(sized.where(F.col("size") < small).select("node"), "node").join(large, "other").groupBy("node", "next").agg(F.sum("w").alias("w"))
+    joined = pulled.groupBy("node").agg(F.min_by("next", F.struct(-F.col("w"), F.col("next"))).alias("next"))
+    final = written(sized.join(joined, "node", "left").select("node", F.coalesce("next", "label").alias("label")), "communities")
+    return final.join(final.groupBy("label").agg(F.min("node").alias("community")), "label").select("node", "community")
 
 
 def members_named_in(texts: DataFrame, key: str, text: str, members: DataFrame, least: int = 2) -> DataFrame:

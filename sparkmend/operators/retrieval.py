@@ -199,6 +199,48 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, vec_id: str, embedding:
     return top_k(best, ["query_id"], "score", "vec_id", k)
 
 
+def similar_pairs(vectors: DataFrame, item: str, embedding: str, group: str, least: float, stars: bool = False, block: int = 1024) -> DataFrame:
+    """a, b (a < b): vectors of one group whose cosine is `least` or more; with stars only as many of these links as keep their classes together.
+
+    A group is cut into blocks of some `block` vectors by a hash, and each two blocks meet once in a matrix product, so a large group is many tasks and
+    no table of all its pairs exists. Null vectors and groups have no links, and neither have vectors of length zero.
+    """
+    rows = vectors.select(F.col(item).cast("long").alias("id"), F.col(embedding).alias("v"), F.col(group).alias("g")).where(F.col("v").isNotNull())
+    blocks = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
+    packed = rows.join(blocks, "g").withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks"))).groupBy("g", "k").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
+    packed = written(packed, "vector_blocks")
+    two = packed.alias("x").join(packed.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.k") <= F.col("y.k"))).select("x.ids", "x.vs", F.col("y.ids").alias("ids2"), F.col("y.vs").alias("vs2"), (F.col("x.k") == F.col("y.k")).alias("same"))
+
+    def links(near: np.ndarray) -> np.ndarray:
+        """Pairs of positions: all that are near, or each position with the least of its class."""
+        if not stars:
+            return np.argwhere(np.triu(near, 1))
+        label = np.arange(len(near))
+        while True:
+            new = np.where(near, label, len(near)).min(axis=1)
+            if (new == label).all():
+                return np.stack([label, np.arange(len(near))], axis=1)[label != np.arange(len(near))]
+            label = new
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, m = np.array(row["ids"], np.int64), unit(np.array(row["vs"], float))
+                if row["same"]:
+                    near = m @ m.T >= least
+                else:
+                    other, size = unit(np.array(row["vs2"], float)), len(ids)
+                    near = np.zeros((size + len(other), size + len(other)), bool)
+                    near[:size, size:] = m @ other.T >= least
+                    near[size:, :size] = near[:size, size:].T
+                    ids = np.r_[ids, np.array(row["ids2"], np.int64)]
+                np.fill_diagonal(near, True)
+                at = ids[links(near)].reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(at.min(axis=1)), pa.array(at.max(axis=1))], names=["a", "b"])
+
+    return two.mapInArrow(run, "a long, b long").where("a <> b")
+
+
 def unit(m: np.ndarray) -> np.ndarray:
     length = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(length > 0, length, 1.0)

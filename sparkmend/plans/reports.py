@@ -191,10 +191,8 @@ def unknown_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of a label at a cosine of 0.3, led by the least."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding", F.sqrt(R.dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
-    a, b = v.alias("a"), v.alias("b")
-    cosine = R.dot(F.col("a.embedding"), F.col("b.embedding")) / (F.col("a.norm") * F.col("b.norm"))
-    pairs = written(a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id"))).where(cosine >= 0.3).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b")), "similar")
+    v = table(spark, sf_dir, "embeddings")
+    pairs = written(R.similar_pairs(v, "vec_id", "embedding", "label", 0.3), "similar")
     return ranking.leader_clusters(v.withColumn("name", F.concat(F.lit("vector "), F.col("vec_id").cast("string"))), pairs, "vec_id", "name")
 
 

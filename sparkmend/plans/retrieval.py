@@ -118,11 +118,8 @@ select id, min(root) as topic from c group by id
 """)
 def threshold_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics: vectors of one label linked at a cosine of 0.3."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding", F.sqrt(R.dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
-    a, b = v.alias("a"), v.alias("b")
-    cosine = R.dot(F.col("a.embedding"), F.col("b.embedding")) / (F.col("a.norm") * F.col("b.norm"))
-    links = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id"))).where(cosine >= 0.3).select(F.col("a.vec_id").alias("src"), F.col("b.vec_id").alias("dst"))
-    return connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("topic"))
+    links = R.similar_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 0.3, stars=True)
+    return connected_components(links, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("topic"))
 
 
 @query("""
