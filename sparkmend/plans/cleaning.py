@@ -176,7 +176,19 @@ def truth_discovery_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vote.source_weights(cells, vote.truth_round(cells, None)).select("src", F.round("w", 6).alias("weight"))
 
 
-@query()
+def truth_sql(rounds: int) -> str:
+    """Rounds of truth discovery, written out one behind the other."""
+    parts = [f"c as ({TRUTH_CELLS})", "w0 as (select distinct src, cast(0.8 as double) as w from c)"]
+    for r in range(1, rounds + 1):
+        parts += [
+            f"v{r} as (select key, attr, val, round(sum(w), 9) as w, min(pos) as pos from c join w{r - 1} using (src) group by key, attr, val)",
+            f"t{r} as (select key, attr, val, w from (select *, row_number() over (partition by key, attr order by w desc, pos) as n from v{r}) where n = 1)",
+            f"w{r} as (select src, cast(sum(case when c.val = t{r}.val then 1 else 0 end) + 1 as double) / (count(*) + 2) as w from c join t{r} on c.key = t{r}.key and c.attr = t{r}.attr group by src)",
+        ]
+    return f"with {', '.join(parts)} select key, attr, val, w as weight from t{rounds}"
+
+
+@query(truth_sql(3))
 def truth_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_suppkey").alias("src"), F.lit("flag").alias("attr"), F.col("l_returnflag").alias("val"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"))
     truth, _ = vote.truth_discovery(cells, 3)
