@@ -38,3 +38,8 @@ def fresh(frame: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def lowered(text: str) -> str:
+    """A-Z as a-z, all else as it is: what lower() does to bytes."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")

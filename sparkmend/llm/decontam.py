@@ -18,18 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkmend.llm.columns import fresh, slices
+from sparkmend.llm.columns import fresh, lowered, slices
 from sparkmend.operators.shared import written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
 SAMPLE = 8
 BLOCK_BYTES = 8 << 20
 STATE = (T.LongType(), T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("past", T.IntegerType())])), T.ArrayType(T.StringType()))
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.translate(LOWER)) if text else []
+    return WORD.findall(lowered(text)) if text else []
 
 
 class Phrases:
@@ -251,7 +250,7 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the words of the spans and what stands between them."""
     if not spans:
         return text
-    bounds = [m.span() for m in WORD.finditer(text.translate(LOWER))]
+    bounds = [m.span() for m in WORD.finditer(lowered(text))]
     out, at = [], 0
     for first, past in spans:
         out.append(text[at : bounds[first][0]])

@@ -5,13 +5,13 @@ cumulative differences of 1, 2, 3 and 4 consecutive segments stay within 0, 1, 2
 asks for that chain: the first segment equal, and the second with at most one of its four nibbles changed, which is
 one of 16 keys of 28 bits. Pairs below a key must pass the rest of the chain before the full Hamming check.
 
-Only distinct fingerprints are joined. A key of many fingerprints is not paired: its fingerprints are dealt again
-below keys that also hold three of the six 6-bit pieces of the other bits; with 46 bits held, a group has at most
-2**18 fingerprints, looked up in a table, and gives a spanning star for each of its classes instead of pairs.
+Only distinct fingerprints are joined. A key of many fingerprints is not paired: up to GATHERED of them are compared in one task, which gives a
+spanning star for each class; more are dealt again below keys that also hold three of the six 6-bit pieces of the other bits; with 46 bits held, a group has at most
+2**18 fingerprints, looked up in a table, and gives stars too.
 
 To keep one document of each near-duplicate group, fingerprints of three-word shingles are too coarse: a text that shares four
 fifths of its five-word shingles with another differs from it in some ten bits. So texts are joined below TABLES fingerprints
-of their single words, by the same chains, and a link must also hold between the fingerprints of their five-word shingles,
+of their distinct words (once each, or the words that every text has would make unrelated ones alike), by the same chains, and a link must also hold between the fingerprints of their five-word shingles,
 within NEAR_BITS bits: about what a similarity of 0.8 leaves (9.7 bits are expected there, 32 for unrelated texts).
 """
 
@@ -28,19 +28,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkmend.llm.columns import fresh, keyed_text, slices
+from sparkmend.llm.columns import fresh, keyed_text, lowered, slices
 from sparkmend.operators.components import connected_components
 from sparkmend.operators.shared import written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
 SEGMENTS, WIDTH, BUDGET = 4, 16, 3
-CROWDED = 32  # fingerprints below a key; more are dealt again
-TABLES, NEAR_BITS, SHINGLE = 4, 16, 5
+CROWDED, GATHERED = 32, 2048  # fingerprints below a key: more than the first are not paired, more than the second dealt again
+TABLES, NEAR_BITS, SHINGLE = 5, 16, 5
+LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()  # a byte's bits as eight bytes
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.translate(LOWER)) if text else []
+    return WORD.findall(lowered(text)) if text else []
 
 
 def shingles(words: list[str], size: int) -> list[str]:
@@ -57,28 +57,35 @@ def fingerprints(texts: list[str | None], size: int = 3, seed: int = 42) -> np.n
 
 
 def majority_bits(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Of each text's hashes, n of them, the bits that more than half have; none without hashes."""
+    """Of each text's hashes, n of them, the bits that more than half have; none without hashes.
+
+    A byte's bits become eight lanes of a number, so 255 hashes are summed with eight additions each before a lane is full.
+    """
     out = np.zeros(len(n), np.uint64)
     full = np.flatnonzero(n)
     if len(full):
+        size = n[full]
+        pieces = -(-size // 255)
+        firsts = np.cumsum(pieces) - pieces
+        starts = np.repeat((np.cumsum(n) - n)[full], pieces) + 255 * (np.arange(int(pieces.sum())) - np.repeat(firsts, pieces))
+        lanes = np.add.reduceat(LANES[hashes.view(np.uint8)].reshape(-1, 8), starts, axis=0)
         # bytes in little-endian order, bits from the lowest
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        starts = (np.cumsum(n) - n)[full]
-        sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        set_ = (2 * sums > n[full][:, None]).astype(np.uint8)
+        sums = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 64), firsts, axis=0, dtype=np.int32)
+        set_ = (2 * sums > size[:, None]).astype(np.uint8)
         out[full] = np.packbits(set_, axis=1, bitorder="little").view("<u8").ravel()
     return out.view(np.int64)
 
 
 def near_fingerprints(texts: list[str | None], tables: int, shingle: int, seed: int = 42) -> list[np.ndarray]:
-    """For each text `tables` fingerprints of its words, and that of its shingles; a word's hashes beyond the first are the first one's, mixed."""
+    """For each text `tables` fingerprints of its distinct words, and that of its shingles; a word's hashes beyond the first are the first one's, mixed."""
     hash_of, met, words, parts = xxhash.xxh64_intdigest, {}, [], []
     for text in texts:
         mine = words_of(text)
-        for w in mine:
+        own = set(mine)
+        for w in own:
             if w not in met:
                 met[w] = hash_of(w, seed)
-        words.append([met[w] for w in mine])
+        words.append([met[w] for w in own])
         parts.append([hash_of(s, seed) for s in shingles(mine, shingle)])
     n, hashes = np.fromiter(map(len, words), np.int64, len(words)), np.array([h for r in words for h in r], "<u8")
     out = []
@@ -135,6 +142,40 @@ def sparse_links(keyed: DataFrame, near_bits: int) -> DataFrame:
     return groups.select(F.explode("all").alias("one"), "all").select(mine["node"].alias("src"), F.explode(F.transform(near, lambda x: x["node"])).alias("dst"))
 
 
+def gathered_links(keyed: DataFrame, near_bits: int) -> DataFrame:
+    """Stars of the classes below keys of up to GATHERED members, each two compared."""
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group in batch.column(0):
+                fps, own, nodes = (np.array(group.values.field(k).to_numpy(), np.int64) for k in range(3))
+                root = nearest_roots(fps.view(np.uint64), own.view(np.uint64), nodes, near_bits)
+                mine = root != nodes
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[mine]), pa.array(root[mine])], names=["src", "dst"])
+
+    groups = keyed.groupBy("key").agg(F.collect_list(F.struct("fp", "own", "node")).alias("all"))
+    return groups.select("all").mapInArrow(star, "src long, dst long").distinct()
+
+
+def nearest_roots(bare: np.ndarray, second: np.ndarray, nodes: np.ndarray, near_bits: int) -> np.ndarray:
+    """The least node of each one's class, all pairs compared."""
+    order = np.argsort(nodes)
+    bare, second = bare[order], second[order]
+    near = np.bitwise_count(bare[:, None] ^ bare) <= BUDGET
+    if near_bits < 64:
+        near &= np.bitwise_count(second[:, None] ^ second) <= near_bits
+    label = np.arange(len(nodes))  # by order of nodes
+    while True:
+        new = np.where(near, label, len(nodes)).min(axis=1)
+        new = new[new]  # a class's label is a member of it, so it can be followed
+        if (new == label).all():
+            break
+        label = new
+    out = np.empty(len(nodes), np.int64)
+    out[order] = nodes[order][label]
+    return out
+
+
 def free_bits(table: int) -> list[int]:
     """The 36 bits that a key of this table leaves open."""
     i, j = divmod(table, 4)
@@ -181,33 +222,27 @@ def classes(fps: np.ndarray, open_: list[int], own: np.ndarray | None = None, no
     Among more than 256 members, of those that have one fingerprint the least node stands for the others towards other fingerprints.
     """
     nodes, own = fps if nodes is None else nodes, np.zeros(len(fps), np.int64) if own is None else own
+    if len(fps) <= 256:  # the table would cost more
+        return nearest_roots(fps.view(np.uint64), own.view(np.uint64), nodes, near_bits)
     order = np.argsort(nodes)
     bare, second = fps[order].view(np.uint64), own[order].view(np.uint64)
     code = np.zeros(len(fps), np.int64)
     for k, b in enumerate(open_):
         code |= ((bare >> np.uint64(b)) & np.uint64(1)).astype(np.int64) << k
     label = np.arange(len(fps))  # by order of nodes
-    if len(fps) <= 256:  # the table would cost more
-        near = (np.bitwise_count(code[:, None] ^ code) <= BUDGET) & (np.bitwise_count(second[:, None] ^ second) <= near_bits)
-        while True:
-            new = np.where(near, label, len(fps)).min(axis=1)
-            if (new == label).all():
-                break
-            label = new
-    else:
-        table = np.full(1 << len(open_), -1, np.int64)
-        table[code[::-1]] = np.arange(len(fps))[::-1]  # the least comes last
-        steps = [0, *(sum(1 << b for b in c) for r in (1, 2, 3) for c in combinations(range(len(open_)), r))]
-        while True:
-            before = label.copy()
-            for step in steps:
-                other = table[code ^ step]
-                there = (other >= 0) & (np.bitwise_count(second ^ second[other]) <= near_bits)
-                label = np.where(there, np.minimum(label, label[other]), label)
-                np.minimum.at(label, other[there], label[there])
-            label = label[label]
-            if (label == before).all():
-                break
+    table = np.full(1 << len(open_), -1, np.int64)
+    table[code[::-1]] = np.arange(len(fps))[::-1]  # the least comes last
+    steps = [0, *(sum(1 << b for b in c) for r in (1, 2, 3) for c in combinations(range(len(open_)), r))]
+    while True:
+        before = label.copy()
+        for step in steps:
+            other = table[code ^ step]
+            there = (other >= 0) & (np.bitwise_count(second ^ second[other]) <= near_bits)
+            label = np.where(there, np.minimum(label, label[other]), label)
+            np.minimum.at(label, other[there], label[there])
+        label = label[label]
+        if (label == before).all():
+            break
     out = np.empty(len(fps), np.int64)
     out[order] = nodes[order][label]
     return out
@@ -227,9 +262,9 @@ def near_classes(rows: DataFrame, tables: list[str], near_bits: int = 64) -> Dat
     keyed = rows.select(F.explode(each).alias("x"), "own", "node").select("x.key", "x.fp", "own", "node")
     many = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "chain_keys")
     shared = keyed.join(many, "key")
-    sparse = sparse_links(shared.where(F.col("n") <= CROWDED).select("key", "fp", "own", "node"), near_bits)
-    crowded = crowded_links(shared.where(F.col("n") > CROWDED).select("key", "fp", "own", "node"), near_bits)
-    return connected_components(sparse.union(crowded))
+    sizes = (F.col("n") <= CROWDED, sparse_links), (F.col("n").between(CROWDED + 1, GATHERED), gathered_links), (F.col("n") > max(CROWDED, GATHERED), crowded_links)
+    links = [find(shared.where(size).select("key", "fp", "own", "node"), near_bits) for size, find in sizes]
+    return connected_components(links[0].union(links[1]).union(links[2]))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

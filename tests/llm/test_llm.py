@@ -148,11 +148,13 @@ def test_simhash(spark, odd):
     assert simhash.simhash_components(df.limit(0)).count() == 0
 
 
-def test_crowded_keys_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("gathered", [2048, 4])
+def test_crowded_keys_lose_no_link(spark, monkeypatch, gathered):
     r = random.Random(8)
     centres = [r.getrandbits(64) for _ in range(3)]
     fps = sorted({c ^ sum(1 << b for b in r.sample(range(64), r.randrange(5))) for c in centres for _ in range(120)})
     monkeypatch.setattr(simhash, "CROWDED", 2)
+    monkeypatch.setattr(simhash, "GATHERED", gathered)
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long").select("fp", F.lit(0).cast("long").alias("own"), F.col("fp").alias("node"))
     got = {x.node: x.component for x in simhash.near_classes(df, ["fp"]).collect()}
     rows = [(f - (1 << 64) if f >> 63 else f, "") for f in fps]
