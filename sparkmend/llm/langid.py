@@ -33,12 +33,13 @@ OUT_SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
 class Model(NamedTuple):
-    """Log frequencies, a column for each language, of words and of n-grams."""
+    """Log frequencies, a column for each language, of words and of n-grams, which are strung together by line breaks: workers keep what is sent
+    to them, and one string is a fraction of many."""
 
     langs: list[str]
-    words: list[str]
+    words: str
     word_rows: np.ndarray
-    grams: list[str]
+    grams: str
     gram_rows: np.ndarray
 
 
@@ -99,7 +100,7 @@ def fit(docs: DataFrame, train_rows: int = 10_000, id_col: str = "doc_id", text_
     for mine in (sizes == 0, sizes > 0):
         coded = pc.dictionary_encode(table["item"].filter(pa.array(mine))).combine_chunks()
         if not len(coded):
-            parts += [[], np.zeros((0, len(langs)), np.float32)]
+            parts += ["", np.zeros((0, len(langs)), np.float32)]
             continue
         item, own_lang, own_size = coded.indices.to_numpy(), lang[mine], sizes[mine]
         n = np.zeros((len(coded.dictionary), len(langs)))
@@ -110,26 +111,26 @@ def fit(docs: DataFrame, train_rows: int = 10_000, id_col: str = "doc_id", text_
         size_of[item] = own_size
         own = totals[size_of]
         usual = np.divide(n, own, out=np.zeros_like(n), where=own > 0).sum(axis=1, keepdims=True) / len(langs)
-        parts += [coded.dictionary.to_pylist(), np.log((n + PRIOR * usual) / (own + PRIOR)).astype(np.float32)]
+        parts += ["\n".join(coded.dictionary.to_pylist()), np.log((n + PRIOR * usual) / (own + PRIOR)).astype(np.float32)]
     return Model(langs, *parts)
 
 
 class Scorer:
     """Predicts; the rows of words it has met are kept, up to a bound."""
 
-    def __init__(self, model: Model, most_kept: int = 300_000):
+    def __init__(self, model: Model, most_kept: int = 100_000):
         self.model, self.most_kept = model, most_kept
         self.reset()
 
     def reset(self) -> None:
         """Rows: 0 for what has no letter, then the known words, then words met. Columns: languages, whether known, whether a word."""
-        k, known = len(self.model.langs), len(self.model.words)
-        self.index = {w: i + 1 for i, w in enumerate(self.model.words)}
+        k, known = len(self.model.langs), len(self.model.word_rows)
+        self.index = {w: i + 1 for i, w in enumerate(self.model.words.split("\n") if known else [])}
         self.matrix = np.zeros((max(1024, known + self.most_kept // 4), k + 2), np.float32)
         self.matrix[1 : known + 1, :k] = self.model.word_rows
         self.matrix[1 : known + 1, k:] = 1
         self.used, self.known = known + 1, known
-        self.grams = {g: i for i, g in enumerate(self.model.grams)}
+        self.grams = {g: i for i, g in enumerate(self.model.grams.split("\n") if len(self.model.gram_rows) else [])}
 
     def backoff(self, word: str) -> np.ndarray | None:
         for size in range(min(LONGEST_GRAM, len(word) + 2), 0, -1):
@@ -192,7 +193,7 @@ def language_id(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(bound.value)
-        for batch in slices(batches):
+        for batch in slices(batches, 2 << 20):
             preds, scores, _ = scorer.predict([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -209,7 +210,7 @@ def keep_with_language(docs: DataFrame, model: Model, least_score: float = 0.0,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(bound.value)
-        for batch in slices(batches):
+        for batch in slices(batches, 2 << 20):
             _, scores, known = scorer.predict([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array([k and s >= least_score for k, s in zip(known, scores)]))
 

@@ -264,10 +264,10 @@ def group_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (bucket_of(keys, buckets).astype(np.uint64) << np.uint64(40) | keys >> np.uint64(25) << np.uint64(1)).astype(np.int64)
 
 
-def some_lines(batches: Iterator[pa.RecordBatch], at: int, most_kept: int = 1 << 20) -> Iterator[list[str]]:
+def some_lines(batches: Iterator[pa.RecordBatch], at: int, most_kept: int = 1 << 18) -> Iterator[list[str]]:
     """The distinct lines with more than white space, by slices; one that a task has met is passed over (after most_kept it forgets)."""
     met: set[int] = set()
-    for batch in slices(batches, 2 << 20):
+    for batch in slices(batches, 1 << 20):
         lines = []
         for line in {line: None for text in batch.column(at).to_pylist() for line in lines_of(text)}:
             if line and not line.isspace() and (h := hash_of(line)) not in met:
@@ -611,7 +611,7 @@ def line_table(docs: DataFrame, key_cols: list[str], text_col: str = "text") ->
     keys = [docs.columns.index(k) for k in key_cols]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 1 << 20):
             row, number, size, hashes = [], [], [], []
             for i, text in enumerate(batch.column(at).to_pylist()):
                 for k, line in enumerate(lines_of(text)):
@@ -670,7 +670,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     at, width = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1 << 20):
             texts = []
             for text, lost in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist()):
                 if lost:
