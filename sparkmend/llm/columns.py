@@ -19,7 +19,7 @@ def keyed_text(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataF
 
 
 def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts batches of long texts into pieces of bounded size (one row at least)."""
+    """Cuts batches of long texts into pieces of bounded size (one row at least). At the end memory that Arrow keeps for reuse goes back: workers live on."""
     for batch in batches:
         rows = batch.num_rows
         if not rows:
@@ -27,6 +27,7 @@ def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iter
         step = max(1, min(rows, int(rows * most_bytes / max(1, batch.nbytes))))
         for start in range(0, rows, step):
             yield batch.slice(start, step)
+    pa.default_memory_pool().release_unused()
 
 
 def fresh(frame: DataFrame, *names: str) -> list[str]:
