@@ -7,7 +7,8 @@ one of 16 keys of 28 bits. Pairs below a key must pass the rest of the chain bef
 
 Only distinct fingerprints are joined. A key of many fingerprints is not paired: up to GATHERED of them are compared in one task, which gives a
 spanning star for each class; more are dealt again below keys that also hold three of the six 6-bit pieces of the other bits; with 46 bits held, a group has at most
-2**18 fingerprints, looked up in a table, and gives stars too.
+2**18 fingerprints, looked up in a table, and gives stars too. Where links also ask for a second fingerprint, members of one fingerprint do not
+stand for each other: all members of any two fingerprints within reach are compared, in the first group only that the two share.
 
 To keep one document of each near-duplicate group, fingerprints of three-word shingles are too coarse: a text that shares four
 fifths of its five-word shingles with another differs from it in some ten bits. So texts are joined below TABLES fingerprints
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -36,6 +38,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SEGMENTS, WIDTH, BUDGET = 4, 16, 3
 CROWDED, GATHERED = 32, 2048  # fingerprints below a key: more than the first are not paired, more than the second dealt again
 TABLES, NEAR_BITS, SHINGLE = 5, 16, 5
+THREES = list(combinations(range(6), 3))  # the pieces that are held when a crowded key is dealt again
+TILE = 1 << 18  # pairs compared at once
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()  # a byte's bits as eight bytes
 
 
@@ -183,31 +187,50 @@ def free_bits(table: int) -> list[int]:
     return [*range(nibble, nibble + 4), *(WIDTH * ((i + k) % SEGMENTS) + b for k in (2, 3) for b in range(WIDTH))]
 
 
+def open_bits(table: int, three: int) -> list[int]:
+    """The 18 bits that a group dealt from a key of this table leaves open."""
+    free = free_bits(table)
+    return [b for p in range(6) if p not in THREES[three] for b in free[6 * p : 6 * p + 6]]
+
+
+def steps_of(places: list[int]) -> list[int]:
+    """The differences of BUDGET bits at most, by number of bits."""
+    return [sum(1 << b for b in c) for r in range(BUDGET + 1) for c in combinations(places, r)]
+
+
+@cache
+def own_steps(table: int, three: int) -> list[int]:
+    """Of a dealt group's steps those that no earlier table or three leaves open too: two fingerprints that meet in many groups are compared in the first."""
+    masks = np.array([sum(1 << b for b in open_bits(i, k)) for i in range(table + 1) for k in range(len(THREES)) if (i, k) < (table, three)], np.uint64)
+    places = open_bits(table, three)
+    whole = np.array(steps_of(places), np.uint64)
+    met = ((whole[:, None] & ~masks) == 0).any(axis=1)
+    return [step for step, m in zip(steps_of(list(range(len(places)))), met) if not m]
+
+
 def crowded_links(keyed: DataFrame, near_bits: int) -> DataFrame:
     """Stars of the classes below keys of more members."""
-    threes = list(combinations(range(6), 3))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = np.zeros((16, len(threes)), np.uint64)
+        masks = np.zeros((16, len(THREES)), np.uint64)
         for table in range(16):
             free = free_bits(table)
-            for t, three in enumerate(threes):
+            for t, three in enumerate(THREES):
                 held = sum(1 << b for p in three for b in free[6 * p : 6 * p + 6])
                 masks[table, t] = held
         for batch in slices(batches, 1 << 20):
             key, fp, own, node = (batch.column(i).to_numpy() for i in range(4))
             kept = masks[key >> 32 & 15] & fp.view(np.uint64)[:, None]
-            t = np.broadcast_to(np.arange(len(threes), dtype=np.int64), kept.shape).ravel()
-            columns = [np.repeat(key, len(threes)), t, kept.ravel().view(np.int64), *(np.repeat(x, len(threes)) for x in (fp, own, node))]
+            t = np.broadcast_to(np.arange(len(THREES), dtype=np.int64), kept.shape).ravel()
+            columns = [np.repeat(key, len(THREES)), t, kept.ravel().view(np.int64), *(np.repeat(x, len(THREES)) for x in (fp, own, node))]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["key", "three", "held", "fp", "own", "node"])
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, three, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 fps, own, nodes = (np.array(group.values.field(k).to_numpy(), np.int64) for k in range(3))
-                free = free_bits(key >> 32 & 15)
-                open_ = [b for p in range(6) if p not in threes[three] for b in free[6 * p : 6 * p + 6]]
-                root = classes(fps, open_, own, nodes, near_bits)
+                table = key >> 32 & 15
+                root = classes(fps, open_bits(table, three), own, nodes, near_bits, own_steps(table, three))
                 mine = root != nodes
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[mine]), pa.array(root[mine])], names=["src", "dst"])
 
@@ -216,10 +239,11 @@ def crowded_links(keyed: DataFrame, near_bits: int) -> DataFrame:
     return groups.select("key", "three", "all").mapInArrow(star, "src long, dst long").distinct()
 
 
-def classes(fps: np.ndarray, open_: list[int], own: np.ndarray | None = None, nodes: np.ndarray | None = None, near_bits: int = 64) -> np.ndarray:
+def classes(fps: np.ndarray, open_: list[int], own: np.ndarray | None = None, nodes: np.ndarray | None = None, near_bits: int = 64, steps: list[int] | None = None) -> np.ndarray:
     """The least node (by default: fingerprint) of each one's class, where fingerprints differ in 18 open bits only.
 
-    Among more than 256 members, of those that have one fingerprint the least node stands for the others towards other fingerprints.
+    With near_bits, of more than 256 members those are compared whose fingerprints differ by one of `steps` (by default all of BUDGET open bits at
+    most). Without, members of one fingerprint have the same links, so the least node stands for the others.
     """
     nodes, own = fps if nodes is None else nodes, np.zeros(len(fps), np.int64) if own is None else own
     if len(fps) <= 256:  # the table would cost more
@@ -229,15 +253,19 @@ def classes(fps: np.ndarray, open_: list[int], own: np.ndarray | None = None, no
     code = np.zeros(len(fps), np.int64)
     for k, b in enumerate(open_):
         code |= ((bare >> np.uint64(b)) & np.uint64(1)).astype(np.int64) << k
+    if near_bits < 64:
+        out = np.empty(len(fps), np.int64)
+        out[order] = nodes[order][member_classes(code, second, near_bits, steps_of(list(range(len(open_)))) if steps is None else steps)]
+        return out
     label = np.arange(len(fps))  # by order of nodes
     table = np.full(1 << len(open_), -1, np.int64)
     table[code[::-1]] = np.arange(len(fps))[::-1]  # the least comes last
-    steps = [0, *(sum(1 << b for b in c) for r in (1, 2, 3) for c in combinations(range(len(open_)), r))]
+    steps = steps_of(list(range(len(open_))))
     while True:
         before = label.copy()
         for step in steps:
             other = table[code ^ step]
-            there = (other >= 0) & (np.bitwise_count(second ^ second[other]) <= near_bits)
+            there = other >= 0
             label = np.where(there, np.minimum(label, label[other]), label)
             np.minimum.at(label, other[there], label[there])
         label = label[label]
@@ -248,6 +276,64 @@ def classes(fps: np.ndarray, open_: list[int], own: np.ndarray | None = None, no
     return out
 
 
+def member_classes(code: np.ndarray, second: np.ndarray, near_bits: int, steps: list[int]) -> np.ndarray:
+    """The first member of each one's class: linked are all whose codes differ by a step and whose second fingerprints in near_bits at most."""
+    order = np.argsort(code, kind="stable")
+    second, label = second[order], np.arange(len(code))
+    codes, first, n = np.unique(code[order], return_index=True, return_counts=True)
+    at = np.full(1 << 18, -1, np.int64)
+    at[codes] = np.arange(len(codes))
+    for step in steps:
+        other = at[codes ^ step]
+        a = np.flatnonzero(other >= np.arange(len(codes)))  # each two once, and at step 0 each with itself
+        b = other[a]
+        large = n[a] * n[b] > TILE
+        for x, y in zip(a[large], b[large]):
+            compare_blocks(second, label, (first[x], first[x] + n[x]), (first[y], first[y] + n[y]), near_bits)
+        a, b = a[~large], b[~large]
+        ends = np.cumsum(n[a] * n[b])
+        for part in np.split(np.arange(len(a)), np.searchsorted(ends, np.arange(TILE, ends[-1], TILE))) if len(a) else ():
+            x, y = a[part], b[part]
+            size = n[x] * n[y]
+            k = np.repeat(np.arange(len(x)), size)
+            i = np.arange(len(k)) - (np.cumsum(size) - size)[k]
+            p, q = first[x][k] + i // n[y][k], first[y][k] + i % n[y][k]
+            near = np.bitwise_count(second[p] ^ second[q]) <= near_bits
+            join_up(label, p[near], q[near])
+    least = np.full(len(code), len(code))
+    np.minimum.at(least, label, order)
+    out = np.empty(len(code), np.int64)
+    out[order] = least[label]
+    return out
+
+
+def compare_blocks(second: np.ndarray, label: np.ndarray, rows: tuple[int, int], columns: tuple[int, int], near_bits: int) -> None:
+    """Joins up the labels of all near members of two ranges, or of one with itself, a tile at a time; what has one label is left out."""
+    step = max(1, TILE // (columns[1] - columns[0]))
+    for low in range(rows[0], rows[1], step):
+        high, start = min(low + step, rows[1]), max(low, columns[0])  # a range with itself: from the diagonal on
+        mine, others = slice(low, high), slice(start, columns[1])
+        if (label[others] == label[low]).all() and (label[mine] == label[low]).all():
+            continue
+        near = np.bitwise_count(second[mine, None] ^ second[others]) <= near_bits
+        near &= label[mine, None] != label[others]
+        p, q = np.nonzero(near)
+        join_up(label, p + low, q + start)
+
+
+def join_up(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+    """Makes the labels (least members, which label themselves) of p and q one, in place."""
+    while True:
+        a, b = label[p], label[q]
+        apart = a != b
+        if not apart.any():
+            return
+        p, q, a, b = p[apart], q[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
 def near_classes(rows: DataFrame, tables: list[str], near_bits: int = 64) -> DataFrame:
     """node, component for the nodes that have a link to another.
 

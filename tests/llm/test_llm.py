@@ -176,6 +176,52 @@ def test_classes_of_large_groups_are_those_of_small_ones():
     assert large.tolist() == [int(fps[x]) for x in label]
 
 
+def members_of_few_fingerprints():
+    """fps, own, nodes: 900 members of some 30 fingerprints, whose second fingerprints make chains."""
+    r = random.Random(11)
+    centre, fps, own = r.getrandbits(63), [], []
+    near = [centre] + [centre ^ sum(1 << b for b in r.sample(range(64), r.randrange(1, 5))) for _ in range(30)]
+    while len(fps) < 900:
+        second = r.getrandbits(64)
+        for _ in range(r.randrange(1, 7)):
+            fps.append(r.choice(near))
+            own.append(second)
+            second ^= sum(1 << b for b in r.sample(range(64), r.randrange(12, 18)))
+    nodes = r.sample(range(10_000), len(fps))
+    return np.array(fps, np.uint64).view(np.int64), np.array(own, np.uint64).view(np.int64), np.array(nodes, np.int64)
+
+
+def test_members_of_one_fingerprint_keep_their_own_links(spark, monkeypatch):
+    fps, own, nodes = members_of_few_fingerprints()
+    want = dict(zip(nodes.tolist(), simhash.nearest_roots(fps.view(np.uint64), own.view(np.uint64), nodes, 16).tolist()))
+    assert 300 < len(set(want.values())) < 800
+    open_ = list(range(3, 21))
+    inside = np.int64(sum(1 << b for b in open_))
+    for tile in (1 << 18, 8):  # many blocks at once, and each in tiles
+        monkeypatch.setattr(simhash, "TILE", tile, raising=False)
+        got = simhash.classes(fps & inside, open_, own, nodes, 16)
+        assert got.tolist() == simhash.nearest_roots((fps & inside).view(np.uint64), own.view(np.uint64), nodes, 16).tolist()
+    monkeypatch.undo()
+    monkeypatch.setattr(simhash, "CROWDED", 2)
+    monkeypatch.setattr(simhash, "GATHERED", 4)
+    df = spark.createDataFrame([*zip(fps.tolist(), own.tolist(), nodes.tolist())], "fp long, own long, node long")
+    got = {x.node: x.component for x in simhash.near_classes(df, ["fp"], 16).collect()}
+    assert {i: got.get(i, i) for i in want} == want
+
+
+def test_each_difference_has_one_group_of_its_own():
+    r = random.Random(12)
+    for n in [0, *(1 + k % 3 for k in range(300))]:
+        step = sum(1 << b for b in r.sample(range(64), n))
+        own = 0
+        for table in range(16):
+            for three in range(20):
+                places = simhash.open_bits(table, three)
+                if all(b in places for b in range(64) if step >> b & 1):
+                    own += sum(1 << k for k, b in enumerate(places) if step >> b & 1) in simhash.own_steps(table, three)
+        assert own == 1
+
+
 def brute_near(texts):
     """The component of each text, all pairs of fingerprints compared."""
     *tables, own = (x.view(np.uint64) for x in simhash.near_fingerprints(texts, simhash.TABLES, simhash.SHINGLE))
