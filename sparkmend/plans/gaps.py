@@ -84,10 +84,7 @@ select count(*) as gold, count(case when f then 1 end) as found, round(count(cas
 def blocking_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the pairs of one brand and size, how many a block by name and type finds."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat("p_brand", F.col("p_size").cast("string")).alias("k1"), F.concat("p_name", "p_type").alias("k2"))
-    gold = written(blocking.blocked_pairs(p, "id", [F.col("k1")], cap=100_000), "gold")
-    found = blocking.blocked_pairs(p, "id", [F.col("k2")], cap=100_000)
-    n = gold.join(found.withColumn("f", F.lit(1)), ["a", "b"], "left").agg(F.count(F.lit(1)).alias("gold"), F.count("f").alias("found"))
-    return n.select("gold", "found", F.round(F.col("found") / F.col("gold"), 6).alias("recall"))
+    return blocking.block_recall(p, "id", "k1", "k2")
 
 
 @query("""

@@ -1,9 +1,10 @@
 """Loaders, whole retrieval passes, policies and artifacts."""
 
+import duckdb
 from pyspark.sql import functions as F
 
-from sparkmend.operators import governance, retrieval
-from sparkmend.plans import kb
+from sparkmend.operators import blocking, governance, retrieval
+from sparkmend.plans import QUERIES, SQL, kb
 from sparkmend.sources import tables
 
 
@@ -52,3 +53,24 @@ def test_a_copied_person_is_found(spark, sf_dir):
     assert people.columns == columns and people.where("person_id = 'P3copy'").first().name.count(",") == 1
     done = kb.repair(people, given["places"], given["events"], links)
     assert done.people.where("source_records like '%P3copy%'").first().source_records == "P3,P3copy"
+
+
+def oracle(name, **tables):
+    """What the query's SQL gives over these tables (rows of plain Python, with DuckDB types)."""
+    con = duckdb.connect()
+    for t, (schema, rows) in tables.items():
+        con.execute(f"create table {t} ({schema})")
+        con.executemany(f"insert into {t} values ({', '.join('?' * (schema.count(',') + 1))})", rows)
+    return con.execute(SQL[name]).fetchall()
+
+
+def test_block_recall_counts_what_the_sql_counts(spark, tmp_path):
+    """Ids twice, nulls, empty values, and no pair at all; and a group beyond the cap that left it out."""
+    rows = [(1, "x", "b", "t", 1), (2, "x", "b", "t", 1), (3, "y", "b", "t", 1), (3, "x", "b", "t", 1), (3, "x", "c", "t", 1), (4, "x", "c", "t", 1), (None, "x", "b", "t", 1), (5, None, "b", "t", 1), (6, "", "b", "", 1), (7, "", "b", "", 1), (8, "x", None, "t", 1), (1, "x", "c", "t", 1)]
+    for k, some in enumerate((rows, rows[5:6])):
+        spark.createDataFrame(some, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/{k}/part.parquet")
+        got = [tuple(r) for r in QUERIES["blocking_recall"](spark, f"{tmp_path}/{k}").collect()]
+        want = oracle("blocking_recall", part=("p_partkey bigint, p_name varchar, p_brand varchar, p_type varchar, p_size int", some))
+        assert repr(got) == repr(want)
+    many = spark.range(100_001).select("id", F.lit("g").alias("g"), (F.col("id") % 2).cast("string").alias("b"))
+    assert tuple(blocking.block_recall(many, "id", "g", "b").first())[:2] == (100_001 * 100_000 // 2, (50_001 * 50_000 + 50_000 * 49_999) // 2)
